@@ -1,0 +1,215 @@
+"""Page structure as a table: tokens with nesting levels, and the elements picked from them.
+
+A page is one row; it is shuffled once by ``page_id`` as raw HTML and taken apart after that, so
+every window and grouping below runs on rows that are already together.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from grantlake.functions.html import attribute, decode_entities, markup_tokens, visible
+from grantlake.functions.payload import any_of
+from grantlake.functions.text import strip
+
+# Fixed values from the HTML standard.
+VOID_TAGS = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+)
+INLINE_TAGS = (
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "button", "cite", "code", "data", "del", "dfn", "em", "font",
+    "i", "ins", "kbd", "label", "mark", "nobr", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
+    "time", "tt", "u", "var",
+)
+BLOCK_TAGS = (
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt",
+    "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
+    "html", "li", "main", "menu", "nav", "ol", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead",
+    "tr", "ul",
+)
+LISTS = ("ul", "ol", "menu")
+ROW_GROUPS = ("tbody", "thead", "tfoot")
+# Elements whose end tag may be left out: (elements, opening tags that end them, closing tags
+# that end them, opening tags that nest inside them).
+OPTIONAL_END = (
+    (("p",), BLOCK_TAGS, BLOCK_TAGS, ()),
+    (("li",), (), LISTS, LISTS),
+    (("dt", "dd"), (), ("dl",), ("dl",)),
+    (("td", "th"), ("tr", *ROW_GROUPS), ("tr", "table", *ROW_GROUPS), ("table",)),
+    (("tr",), ROW_GROUPS, ("table", *ROW_GROUPS), ("table",)),
+    (ROW_GROUPS, (), ("table",), ("table",)),
+)
+
+OPEN, CLOSE, TEXT = "open", "close", "text"
+
+
+def _raw_tokens(pages: DataFrame) -> DataFrame:
+    """``page_id, pos, token, kind, tag, text``: opening tags, closing tags and non-blank text."""
+    together = pages.select("page_id", "html").repartition("page_id")
+    token = F.col("token")
+    tag = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
+    is_tag = token.rlike(r"^<[a-zA-Z/!?]")
+    kind = F.when(~is_tag, TEXT).when(token.startswith("</"), CLOSE).when(
+        (tag != "") & ~tag.isin(*VOID_TAGS) & ~token.endswith("/>"), OPEN
+    )
+    return (
+        together.select("page_id", F.posexplode(markup_tokens(visible(F.col("html")))).alias("pos", "token"))
+        .withColumn("tag", F.when(is_tag, tag))
+        .withColumn("kind", kind)
+        .withColumn("text", F.when(~is_tag, strip(decode_entities(token))))
+        .where(F.col("kind").isNotNull() & ((F.col("kind") != TEXT) | (F.col("text") != "")))
+    )
+
+
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """Opening tags and text runs of ``pages(page_id, html)`` with their nesting ``level``.
+
+    Block structure is counted over the whole page, with left-out end tags filled in. Inline
+    elements are counted from the last block tag on, so an unclosed ``<b>`` cannot shift what follows it.
+    """
+    in_page = Window.partitionBy("page_id").orderBy("pos")
+    before = in_page.rowsBetween(Window.unboundedPreceding, -1)
+    tag, is_open, is_close = F.col("tag"), F.col("kind") == OPEN, F.col("kind") == CLOSE
+    inline = tag.isin(*INLINE_TAGS)
+
+    events, implied, stray = [], [], []
+    for items, open_ends, close_ends, nested in OPTIONAL_END:
+        item, name = tag.isin(*items), f"_{items[0]}"
+        ends = (is_open & tag.isin(*open_ends) if open_ends else F.lit(False)) | (is_close & tag.isin(*close_ends))
+        event = F.when(is_open & item, "begin").when(is_close & item, "end")
+        if nested:
+            event = event.when(is_open & tag.isin(*nested), "nest")
+        event = event.when(ends & ~item, "out")
+        events.append(event.alias(name))
+        last = F.last(name, ignorenulls=True).over(before)
+        # An item still open is closed by the next item or by an enclosing end.
+        implied.append(F.when((last == "begin") & F.col(name).isin("begin", "out"), 1).otherwise(0))
+        # An end tag without an open item has nothing to close.
+        closed = F.coalesce(last, F.lit("end")) == "end" if nested else F.coalesce(last, F.lit("end")) != "begin"
+        stray.append((F.col(name) == "end") & closed)
+
+    own = F.when(is_open & ~inline, 1).when(is_close & ~inline & ~any_of([F.coalesce(s, F.lit(False)) for s in stray]), -1)
+    step = F.coalesce(own, F.lit(0)) - reduce(lambda a, b: a + b, implied)
+    inline_step = F.when(is_open & inline, 1).when(is_close & inline, -1).otherwise(0)
+    stepped = (
+        _raw_tokens(pages)
+        .select("*", *events)
+        .select("page_id", "pos", "kind", "tag", "text", "token", step.alias("step"), inline_step.alias("inline_step"))
+    )
+    counted = stepped.select(
+        "*",
+        F.sum("step").over(in_page).alias("block_level"),
+        F.sum("inline_step").over(in_page).alias("inline_total"),
+    )
+    at_block = F.last(F.when((F.col("kind") != TEXT) & ~inline, F.col("inline_total")), ignorenulls=True).over(in_page)
+    inline_level = F.greatest(F.col("inline_total") - F.coalesce(at_block, F.lit(0)), F.lit(0))
+    level = F.col("block_level") + inline_level
+    return (
+        counted.withColumn("level", level.cast("int"))
+        .where(F.col("kind") != CLOSE)
+        .select("page_id", "pos", "kind", "tag", "token", "text", "level")
+    )
+
+
+def elements(
+    tokens: DataFrame,
+    wanted: Column,
+    box: Column | None = None,
+    boxed: Column | None = None,
+    siblings: bool = False,
+) -> DataFrame:
+    """Elements picked from the tokens, with their text.
+
+    ``wanted`` marks the opening tags to pick. With ``siblings`` every element on a level that
+    holds a wanted one comes along. ``box`` marks container elements, and ``boxed`` the elements for
+    which the enclosing boxes are listed.
+
+    Result: ``page_id, pos, tag, token, level, parent, wanted, text, boxes`` where ``parent`` and
+    ``boxes`` are positions of opening tags and ``text`` joins the stripped text runs with nothing between.
+
+    Text on level n belongs, for each level up to n, to the element opened last on that level.
+    So runs are repeated only for the levels that hold something wanted, and one ordered
+    window per (page, level) finds every owner.
+    """
+    false = F.lit(False)
+    is_open = F.col("kind") == OPEN
+    page = Window.partitionBy("page_id")
+    level = F.col("level")
+    marked = tokens.select(
+        "*",
+        (is_open & wanted).alias("wanted"),
+        (is_open & (false if box is None else box)).alias("box"),
+        (is_open & (false if boxed is None else boxed)).alias("boxed"),
+    ).select(
+        "*",
+        F.collect_set(F.when(F.col("wanted"), level)).over(page).alias("levels"),
+        F.collect_set(F.when(F.col("box"), level)).over(page).alias("box_levels"),
+    )
+
+    def place(at: Column, role: str) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.lit(role).alias("role"))
+
+    none = F.array().cast("array<struct<at:int,role:string>>")
+    holds = F.array_contains(F.array_union("levels", "box_levels"), level)
+    places = F.when(
+        is_open,
+        F.concat(
+            F.when(holds, F.array(place(level, "open"))).otherwise(none),
+            F.when(F.array_contains("levels", level + 1), F.array(place(level + 1, "parent"))).otherwise(none),
+            F.when(
+                F.col("boxed"),
+                F.transform(F.filter("box_levels", lambda at: at < level), lambda at: place(at, "boxed")),
+            ).otherwise(none),
+        ),
+    ).otherwise(F.transform(F.filter("levels", lambda at: at <= level), lambda at: place(at, "text")))
+    placed = marked.select(
+        "page_id", "pos", "tag", "token", "text", "wanted", "box", F.explode(places).alias("place")
+    ).select("*", "place.at", "place.role")
+
+    on_level = Window.partitionBy("page_id", "at").orderBy("pos")
+    role = F.col("role")
+    owner = F.last(F.when(role == "open", F.struct("pos", "wanted", "box")), ignorenulls=True).over(on_level)
+    parent = F.last(F.when(role == "parent", F.col("pos")), ignorenulls=True).over(on_level)
+    owned = placed.select("*", owner.alias("owner"), parent.alias("parent"))
+    picked = F.lit(True) if siblings else F.col("owner.wanted")
+    key = F.when(role.isin("open", "text") & picked, F.col("owner.pos")).when(
+        (role == "boxed") & F.col("owner.box"), F.col("pos")
+    )
+    runs = F.array_sort(F.collect_list(F.when(role == "text", F.struct("pos", "text"))))
+    own = F.struct("tag", "token", "at", "parent", "wanted")
+    return (
+        owned.withColumn("key", key)
+        .where(F.col("key").isNotNull() & (role != "parent"))
+        .groupBy("page_id", "key")
+        .agg(
+            F.max(F.when(role == "open", own)).alias("own"),
+            F.max(F.when(role == "boxed", F.struct("tag", "token"))).alias("inner"),
+            F.array_join(F.transform(runs, lambda run: run["text"]), "").alias("text"),
+            F.array_sort(F.collect_list(F.when(role == "boxed", F.col("owner.pos")))).alias("boxes"),
+        )
+        .select(
+            "page_id",
+            F.col("key").alias("pos"),
+            F.coalesce("own.tag", "inner.tag").alias("tag"),
+            F.coalesce("own.token", "inner.token").alias("token"),
+            F.col("own.at").alias("level"),
+            F.col("own.parent").alias("parent"),
+            F.coalesce("own.wanted", F.lit(False)).alias("wanted"),
+            "text",
+            "boxes",
+        )
+    )
+
+
+def class_contains(*parts: str) -> Column:
+    """The tag's class attribute contains one of the given texts."""
+    value = attribute(F.col("token"), "class")
+    return any_of([F.contains(value, F.lit(part)) for part in parts])
+
+
+def has_class(name: str) -> Column:
+    """The tag's class attribute lists exactly this class."""
+    return F.array_contains(F.split(attribute(F.col("token"), "class"), r"\s+"), name)
