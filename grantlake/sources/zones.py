@@ -13,6 +13,8 @@ from grantlake.functions.text import WHITESPACE
 from grantlake.operators.normalize import record_json
 from grantlake.schemas import NORMALIZED, RAW_DDL
 
+# Orders the raw lines of a source, so that of two equal ids the later line wins.
+LINE_ORDER = "line_order"
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 
 
@@ -52,9 +54,18 @@ def parse_raw_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def with_line_order(lines: DataFrame) -> DataFrame:
+    """Add where each line stands: by file, part of the file, and row within that part.
+
+    Paths hold the run date, so later dates of a source sort after earlier ones. Stable under retries.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return lines.select("*", place.alias(LINE_ORDER))
+
+
 def read_raw(spark: SparkSession, root: str, source: str, run_date: str) -> DataFrame:
-    """Raw rows of one source and date; a partition that was never written is an error."""
-    return parse_raw_lines(spark.read.text(partition_path(root, source, run_date)))
+    """Raw rows of one source and date in line order; a partition that was never written is an error."""
+    return parse_raw_lines(with_line_order(spark.read.text(partition_path(root, source, run_date))))
 
 
 def write_raw(raw: DataFrame, root: str, source: str, run_date: str) -> None:
