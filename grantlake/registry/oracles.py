@@ -248,7 +248,7 @@ ORACLES: dict[str, str] = {
     "tokenize_tf": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents) GROUP BY doc_id, term",
     "keyword_score_pairs": f"""
       WITH q AS (SELECT conv_id, turn + 1 AS turn, unnest({WORDS.format('text')}) AS term FROM conversations),
-      qc AS (SELECT conv_id, turn, term, count(*) AS n, count(*) OVER (PARTITION BY conv_id, turn) AS n_distinct FROM q GROUP BY ALL),
+      qc AS (SELECT conv_id, turn, term, count(*) AS n, count(*) OVER (PARTITION BY conv_id, turn) AS n_distinct FROM q GROUP BY conv_id, turn, term),
       t AS (SELECT conv_id, turn, unnest({WORDS.format('text')}) AS term FROM conversations),
       tc AS (SELECT conv_id, turn, term, count(*) AS n FROM t GROUP BY ALL),
       s AS (SELECT conv_id, turn, sum(qc.n * tc.n)::DOUBLE / any_value(n_distinct) AS score FROM qc JOIN tc USING (conv_id, turn, term) GROUP BY ALL)
@@ -383,10 +383,10 @@ ORACLES: dict[str, str] = {
         {{'heading': 'Overview', 'body': 'Last word'}},
         {{'heading': 'GST andsuper', 'body': 'Written in ' || lang || {GUIDE_EXTRA} || ' Length ' || n_chars}}]) AS s FROM documents)""",
     "guidance_topics": f"""
-      SELECT doc_id AS page_id, 'Guide' || doc_id AS title, 2 AS n_sections,
-        {topics("('Guide' || doc_id || ' Last word Written in ' || lang || " + GUIDE_EXTRA + ")")} AS topics FROM documents""",
+      SELECT doc_id AS page_id, 'Guide ' || doc_id AS title, 2 AS n_sections,
+        {topics("('Guide ' || doc_id || ' Last word Written in ' || lang || " + GUIDE_EXTRA + ")")} AS topics FROM documents""",
     "guidance_page_payloads": """
-      SELECT doc_id AS page_id, 'https://guides.example.org/' || doc_id AS url, 'Guide' || doc_id AS title,
+      SELECT doc_id AS page_id, 'https://guides.example.org/' || doc_id AS url, 'Guide ' || doc_id AS title,
         'Last word' AS overview, CASE WHEN lang = 'de' THEN '["payg","superannuation"]' ELSE '[]' END AS topics FROM documents""",
     "pay_rates": """
       SELECT p_partkey AS page_id, r.pos, r.classification, r.amount, r.period FROM (SELECT p_partkey, unnest([
