@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from grantlake.functions.html import attribute, decode_entities, markup_tokens, visible
 from grantlake.functions.payload import any_of
 from grantlake.functions.text import strip
+from grantlake.session import spread_by
 
 # Fixed values from the HTML standard.
 VOID_TAGS = (
@@ -43,24 +44,34 @@ OPTIONAL_END = (
     (ROW_GROUPS, (), ("table",), ("table",)),
 )
 
+TAG_NAME = r"^</?([a-zA-Z][^\s/>]*)"
+# Void elements, self-closed tags, declarations and markers open nothing.
+NOT_OPENING = rf"(?i)^<(?:[!?]|(?:{'|'.join(VOID_TAGS)})\b)|/>$"
 OPEN, CLOSE, TEXT = "open", "close", "text"
+# What a tag means to a group of elements with optional end tags.
+BEGIN, END, NEST, OUT = 1, 2, 3, 4
+# The part a token plays on a level: it opens an element there, opens the parent of what follows
+# there, lies inside a box there, or is text inside an element there.
+OWNER, PARENT, BOXED, RUN = 0, 1, 2, 3
 
 
 def _raw_tokens(pages: DataFrame) -> DataFrame:
     """``page_id, pos, token, kind, tag, text``: opening tags, closing tags and non-blank text."""
-    together = pages.select("page_id", "html").repartition("page_id")
+    together = spread_by(pages.select("page_id", "html"), "page_id")
     token = F.col("token")
-    tag = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][^\s/>]*)", 1))
     is_tag = token.rlike(r"^<[a-zA-Z/!?]")
-    kind = F.when(~is_tag, TEXT).when(token.startswith("</"), CLOSE).when(
-        (tag != "") & ~tag.isin(*VOID_TAGS) & ~token.endswith("/>"), OPEN
+    kind = (
+        F.when(~is_tag, F.when(strip(token) != "", TEXT))
+        .when(token.startswith("</"), CLOSE)
+        .when(~token.rlike(NOT_OPENING), OPEN)
     )
     return (
         together.select("page_id", F.posexplode(markup_tokens(visible(F.col("html")))).alias("pos", "token"))
-        .withColumn("tag", F.when(is_tag, tag))
         .withColumn("kind", kind)
-        .withColumn("text", F.when(~is_tag, strip(decode_entities(token))))
-        .where(F.col("kind").isNotNull() & ((F.col("kind") != TEXT) | (F.col("text") != "")))
+        .where(F.col("kind").isNotNull())
+        .withColumn("tag", F.when(F.col("kind") != TEXT, F.lower(F.regexp_extract(token, TAG_NAME, 1))))
+        .withColumn("text", F.when(F.col("kind") == TEXT, strip(decode_entities(token))))
+        .withColumn("token", F.when((F.col("kind") == OPEN) & F.contains(token, F.lit("=")), token))
     )
 
 
@@ -73,40 +84,40 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     in_page = Window.partitionBy("page_id").orderBy("pos")
     before = in_page.rowsBetween(Window.unboundedPreceding, -1)
     tag, is_open, is_close = F.col("tag"), F.col("kind") == OPEN, F.col("kind") == CLOSE
-    inline = tag.isin(*INLINE_TAGS)
 
     events, implied, stray = [], [], []
-    for items, open_ends, close_ends, nested in OPTIONAL_END:
-        item, name = tag.isin(*items), f"_{items[0]}"
-        ends = (is_open & tag.isin(*open_ends) if open_ends else F.lit(False)) | (is_close & tag.isin(*close_ends))
-        event = F.when(is_open & item, "begin").when(is_close & item, "end")
+    for number, (items, open_ends, close_ends, nested) in enumerate(OPTIONAL_END):
+        item, name = tag.isin(*items), f"event_{number}"
+        ends = is_close & tag.isin(*close_ends)
+        if open_ends:
+            ends = ends | (is_open & tag.isin(*open_ends))
+        event = F.when(item, F.when(is_open, BEGIN).otherwise(END))
         if nested:
-            event = event.when(is_open & tag.isin(*nested), "nest")
-        event = event.when(ends & ~item, "out")
-        events.append(event.alias(name))
-        last = F.last(name, ignorenulls=True).over(before)
+            event = event.when(is_open & tag.isin(*nested), NEST)
+        events.append(F.when(tag.isNotNull(), event.when(ends, OUT)).cast("byte").alias(name))
+        last = F.coalesce(F.last(name, ignorenulls=True).over(before), F.lit(END))
         # An item still open is closed by the next item or by an enclosing end.
-        implied.append(F.when((last == "begin") & F.col(name).isin("begin", "out"), 1).otherwise(0))
+        implied.append(F.when((last == BEGIN) & F.col(name).isin(BEGIN, OUT), 1).otherwise(0))
         # An end tag without an open item has nothing to close.
-        closed = F.coalesce(last, F.lit("end")) == "end" if nested else F.coalesce(last, F.lit("end")) != "begin"
-        stray.append((F.col(name) == "end") & closed)
+        closed = last == END if nested else last != BEGIN
+        stray.append(F.coalesce((F.col(name) == END) & closed, F.lit(False)))
 
-    own = F.when(is_open & ~inline, 1).when(is_close & ~inline & ~any_of([F.coalesce(s, F.lit(False)) for s in stray]), -1)
-    step = F.coalesce(own, F.lit(0)) - reduce(lambda a, b: a + b, implied)
-    inline_step = F.when(is_open & inline, 1).when(is_close & inline, -1).otherwise(0)
-    stepped = (
+    block_step = F.when(is_open, 1).when(is_close & ~any_of(stray), -1).otherwise(0)
+    step = F.when(F.col("inline"), 0).otherwise(block_step) - reduce(lambda a, b: a + b, implied)
+    inline_step = F.when(F.col("inline"), F.when(is_open, 1).otherwise(-1)).otherwise(0)
+    counted = (
         _raw_tokens(pages)
-        .select("*", *events)
-        .select("page_id", "pos", "kind", "tag", "text", "token", step.alias("step"), inline_step.alias("inline_step"))
-    )
-    counted = stepped.select(
-        "*",
-        F.sum("step").over(in_page).alias("block_level"),
-        F.sum("inline_step").over(in_page).alias("inline_total"),
+        .select("*", F.coalesce(tag.isin(*INLINE_TAGS), F.lit(False)).alias("inline"), *events)
+        .select("page_id", "pos", "kind", "tag", "text", "token", "inline", step.cast("int").alias("step"))
+        .select(
+            *["page_id", "pos", "kind", "tag", "text", "token", "inline"],
+            F.sum("step").over(in_page).alias("block_level"),
+            F.sum(inline_step).over(in_page).alias("inline_total"),
+        )
     )
-    at_block = F.last(F.when((F.col("kind") != TEXT) & ~inline, F.col("inline_total")), ignorenulls=True).over(in_page)
-    inline_level = F.greatest(F.col("inline_total") - F.coalesce(at_block, F.lit(0)), F.lit(0))
-    level = F.col("block_level") + inline_level
+    at_block = F.last(F.when((F.col("kind") != TEXT) & ~F.col("inline"), F.col("inline_total")), ignorenulls=True)
+    inline_level = F.col("inline_total") - F.coalesce(at_block.over(in_page), F.lit(0))
+    level = F.col("block_level") + F.greatest(inline_level, F.lit(0))
     return (
         counted.withColumn("level", level.cast("int"))
         .where(F.col("kind") != CLOSE)
@@ -149,46 +160,45 @@ def elements(
         F.collect_set(F.when(F.col("box"), level)).over(page).alias("box_levels"),
     )
 
-    def place(at: Column, role: str) -> Column:
-        return F.struct(at.cast("int").alias("at"), F.lit(role).alias("role"))
+    # A place is a level and the part a token plays there, packed into one number.
+    def place(at: Column, role: int) -> Column:
+        return (at * 4 + role).cast("int")
 
-    none = F.array().cast("array<struct<at:int,role:string>>")
+    none = F.array().cast("array<int>")
     holds = F.array_contains(F.array_union("levels", "box_levels"), level)
+    opened = F.when(holds, F.array(place(level, OWNER))).otherwise(none)
+    inner = F.when(F.array_contains("levels", level + 1), F.array(place(level + 1, PARENT))).otherwise(none)
+    outer = F.transform(F.filter("box_levels", lambda at: at < level), lambda at: place(at, BOXED))
     places = F.when(
-        is_open,
-        F.concat(
-            F.when(holds, F.array(place(level, "open"))).otherwise(none),
-            F.when(F.array_contains("levels", level + 1), F.array(place(level + 1, "parent"))).otherwise(none),
-            F.when(
-                F.col("boxed"),
-                F.transform(F.filter("box_levels", lambda at: at < level), lambda at: place(at, "boxed")),
-            ).otherwise(none),
-        ),
-    ).otherwise(F.transform(F.filter("levels", lambda at: at <= level), lambda at: place(at, "text")))
+        is_open, F.concat(opened, inner, F.when(F.col("boxed"), outer).otherwise(none))
+    ).otherwise(F.transform(F.filter("levels", lambda at: at <= level), lambda at: place(at, RUN)))
     placed = marked.select(
         "page_id", "pos", "tag", "token", "text", "wanted", "box", F.explode(places).alias("place")
-    ).select("*", "place.at", "place.role")
+    ).select("*", F.shiftright("place", 2).alias("at"), F.col("place").bitwiseAND(3).alias("role"))
 
     on_level = Window.partitionBy("page_id", "at").orderBy("pos")
     role = F.col("role")
-    owner = F.last(F.when(role == "open", F.struct("pos", "wanted", "box")), ignorenulls=True).over(on_level)
-    parent = F.last(F.when(role == "parent", F.col("pos")), ignorenulls=True).over(on_level)
-    owned = placed.select("*", owner.alias("owner"), parent.alias("parent"))
-    picked = F.lit(True) if siblings else F.col("owner.wanted")
-    key = F.when(role.isin("open", "text") & picked, F.col("owner.pos")).when(
-        (role == "boxed") & F.col("owner.box"), F.col("pos")
+    flags = F.when(F.col("wanted"), 2).otherwise(0) + F.when(F.col("box"), 1).otherwise(0)
+    opened_last = F.last(F.when(role == OWNER, F.col("pos").cast("long") * 4 + flags), ignorenulls=True).over(on_level)
+    parent = F.last(F.when(role == PARENT, F.col("pos")), ignorenulls=True).over(on_level)
+    owned = placed.select("*", opened_last.alias("owner"), parent.alias("parent")).withColumn(
+        "owner_pos", F.shiftright("owner", 2).cast("int")
+    )
+    picked = F.lit(True) if siblings else F.col("owner").bitwiseAND(2) > 0
+    key = F.when(role.isin(OWNER, RUN) & picked, F.col("owner_pos")).when(
+        (role == BOXED) & (F.col("owner").bitwiseAND(1) > 0), F.col("pos")
     )
-    runs = F.array_sort(F.collect_list(F.when(role == "text", F.struct("pos", "text"))))
+    runs = F.array_sort(F.collect_list(F.when(role == RUN, F.struct("pos", "text"))))
     own = F.struct("tag", "token", "at", "parent", "wanted")
     return (
         owned.withColumn("key", key)
-        .where(F.col("key").isNotNull() & (role != "parent"))
+        .where(F.col("key").isNotNull())
         .groupBy("page_id", "key")
         .agg(
-            F.max(F.when(role == "open", own)).alias("own"),
-            F.max(F.when(role == "boxed", F.struct("tag", "token"))).alias("inner"),
+            F.max(F.when(role == OWNER, own)).alias("own"),
+            F.max(F.when(role == BOXED, F.struct("tag", "token"))).alias("inner"),
             F.array_join(F.transform(runs, lambda run: run["text"]), "").alias("text"),
-            F.array_sort(F.collect_list(F.when(role == "boxed", F.col("owner.pos")))).alias("boxes"),
+            F.array_sort(F.collect_list(F.when(role == BOXED, F.col("owner_pos")))).alias("boxes"),
         )
         .select(
             "page_id",
@@ -206,10 +216,11 @@ def elements(
 
 def class_contains(*parts: str) -> Column:
     """The tag's class attribute contains one of the given texts."""
-    value = attribute(F.col("token"), "class")
+    value = F.coalesce(attribute(F.col("token"), "class"), F.lit(""))
     return any_of([F.contains(value, F.lit(part)) for part in parts])
 
 
 def has_class(name: str) -> Column:
     """The tag's class attribute lists exactly this class."""
-    return F.array_contains(F.split(attribute(F.col("token"), "class"), r"\s+"), name)
+    value = F.coalesce(attribute(F.col("token"), "class"), F.lit(""))
+    return F.array_contains(F.split(value, r"\s+"), name)

@@ -49,3 +49,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle rows by a key that what follows needs together, into at least as many parts as the input has.
+
+    The number is given so that adaptive execution does not merge parts that look small here but
+    grow many times when the rows are taken apart.
+    """
+    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    return df.repartition(n_parts, key)
