@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # JSON text of every value that counts as "not there": null, "", 0, false, [] and {}.
 FALSY_JSON = r'^(null|""|false|\[\]|\{\}|-?0(\.0*)?([eE][-+]?\d+)?)$'
+# The same values read as text; only then does the type have to be looked at.
+MAYBE_FALSY_TEXT = r"^(|null|false|\[\]|\{\}|-?0(\.0*)?([eE][-+]?\d+)?)$"
 
 
 def path(*keys: str) -> str:
@@ -22,8 +24,9 @@ def get(payload: Column, *keys: str) -> Column:
 
 def truthy(payload: Column, json_path: str) -> Column:
     """The value at a path as text, or null when it is missing or falsy. The string "0" is truthy."""
+    text = F.try_variant_get(payload, json_path, "string")
     as_json = F.to_json(F.try_variant_get(payload, json_path, "variant"))
-    return F.when(~as_json.rlike(FALSY_JSON), F.try_variant_get(payload, json_path, "string"))
+    return F.when(~text.rlike(MAYBE_FALSY_TEXT), text).when(~as_json.rlike(FALSY_JSON), text)
 
 
 def first(payload: Column, *paths: str) -> Column:
@@ -31,18 +34,12 @@ def first(payload: Column, *paths: str) -> Column:
     return F.coalesce(*[truthy(payload, p) for p in paths])
 
 
-def is_falsy(value: Column) -> Column:
-    return F.coalesce(F.to_json(value).rlike(FALSY_JSON), F.lit(True))
-
-
-def object_or_empty(payload: Column) -> Column:
-    """The payload if it is an object, ``{}`` if it is missing or falsy; anything else is an error."""
-    as_json = F.to_json(payload)
-    return (
-        F.when(is_falsy(payload), F.parse_json(F.lit("{}")))
-        .when(as_json.startswith("{"), payload)
-        .otherwise(F.raise_error(F.concat(F.lit("payload is not an object: "), F.substring(as_json, 1, 80))))
-    )
+def object_or_empty(payload: Column, as_json: Column) -> tuple[Column, Column]:
+    """A payload and its JSON text: kept if it is an object, ``{}`` if missing or falsy, else an error."""
+    falsy = F.coalesce(as_json.rlike(FALSY_JSON), F.lit(True))
+    refused = F.raise_error(F.concat(F.lit("payload is not an object: "), F.substring(as_json, 1, 80)))
+    checked = F.when(falsy, F.parse_json(F.lit("{}"))).when(as_json.startswith("{"), payload).otherwise(refused)
+    return checked, F.when(falsy, "{}").otherwise(as_json)
 
 
 def any_of(columns: list[Column]) -> Column:

@@ -119,12 +119,16 @@ def normalize(raw: DataFrame) -> DataFrame:
 def _records(raw: DataFrame, source: Column, key: Column, fields: list[Column]) -> DataFrame:
     """The record columns, then any further input column (an ordinal, a partition) unchanged."""
     extra = [c for c in raw.columns if c not in ("source", "payload", "fetched_at")]
-    return raw.withColumn(PAYLOAD, P.object_or_empty(F.col(PAYLOAD))).select(
+    payload, as_json = P.object_or_empty(F.col(PAYLOAD), F.col("raw"))
+    checked = raw.withColumn("raw", F.to_json(PAYLOAD)).select(
+        "source", payload.alias(PAYLOAD), as_json.alias("raw"), "fetched_at", *extra
+    )
+    return checked.select(
         record_id(source, key).alias("record_id"),
         source.alias("source"),
         *fields,
         F.col("fetched_at").alias("ingested_at"),
-        F.to_json(F.col(PAYLOAD)).alias("raw"),
+        "raw",
         *extra,
     )
 

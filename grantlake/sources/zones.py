@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantlake.functions.payload import object_or_empty
 from grantlake.functions.text import WHITESPACE
 from grantlake.operators.normalize import record_json
 from grantlake.schemas import NORMALIZED, RAW_DDL
@@ -49,9 +48,7 @@ def parse_raw_lines(lines: DataFrame) -> DataFrame:
     full = lines.where(F.length(F.trim(F.col("value"), F.lit(WHITESPACE))) > 0)
     extra = [c for c in lines.columns if c != "value"]
     parsed = full.select(F.from_json("value", RAW_DDL, {"mode": "FAILFAST"}).alias("raw"), *extra)
-    return parsed.select(
-        "raw.source", object_or_empty(F.col("raw.payload")).alias("payload"), "raw.fetched_at", *extra
-    )
+    return parsed.select("raw.source", "raw.payload", "raw.fetched_at", *extra)
 
 
 def with_line_order(lines: DataFrame) -> DataFrame:
