@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ FIRST_H1 = r"(?is)<h1\b[^>]*>(.*?)(?:</h1\s*>|\z)"
 ANCHOR_HREF = rf"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 ATTRIBUTE = r"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
-# Named character references decoded in text. The ampersand comes last on purpose.
+# Named character references decoded in text.
 ENTITIES = {
+    "amp": "&",
     "lt": "<",
     "gt": ">",
     "quot": '"',
@@ -45,31 +48,25 @@ ENTITIES = {
     "times": "×",
     "frac12": "½",
 }
-NUMERIC_ENTITY = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"
-
-
-def _code_point(reference: Column) -> Column:
-    """The character of one numeric reference such as ``&#39;`` or ``&#x2019;``."""
-    digits = F.regexp_extract(reference, r"([xX]?[0-9a-fA-F]+)", 1)
-    number = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 8), 16, 16)).otherwise(
-        F.conv(digits, 10, 16)
-    )
-    return F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[a-zA-Z][a-zA-Z0-9]*;)"
 
 
-def _decode_numeric(text: Column) -> Column:
-    between = F.split(text, NUMERIC_ENTITY, -1)
-    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(NUMERIC_ENTITY), F.lit(0)), _code_point), F.array(F.lit("")))
-    return F.array_join(F.zip_with(between, found, lambda plain, char: F.concat(plain, char)), "")
+def _referenced(reference: Column) -> Column:
+    """The character of one reference such as ``&amp;``, ``&#39;`` or ``&#x2019;``; an unknown name stays as it is."""
+    named = F.from_json(F.lit(json.dumps({f"&{n};": c for n, c in ENTITIES.items()})), "map<string,string>")
+    digits = F.regexp_extract(reference, r"#([xX]?[0-9a-fA-F]+)", 1)
+    is_hex = F.lower(digits).startswith("x")
+    number = F.when(is_hex, F.conv(F.substring(digits, 2, 8), 16, 16)).otherwise(F.conv(digits, 10, 16))
+    character = F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
+    return F.when(digits != "", character).otherwise(F.coalesce(F.try_element_at(named, reference), reference))
 
 
 def decode_entities(text: Column) -> Column:
     """Decode character references once; text without an ampersand is passed on as it is."""
-    named = F.when(F.contains(text, F.lit("&#")), _decode_numeric(text)).otherwise(text)
-    for name, char in ENTITIES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    named = F.replace(named, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(text, F.lit("&")), named).otherwise(text)
+    plain = F.split(text, REFERENCE, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _referenced)
+    parts = F.zip_with(plain, F.concat(found, F.array(F.lit(""))), lambda before, char: F.concat(before, char))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
 
 
 def visible(html: Column) -> Column:

@@ -29,63 +29,82 @@ def _raw_field(*labels: str) -> Column:
     return P.first(F.col(PAYLOAD), *[P.path("raw_fields", label) for label in labels])
 
 
-def _mappings() -> dict[str, dict[str, Column]]:
-    """Per source: the natural ``key`` and the filled record fields. Fields left out are null.
+def _grant() -> dict[str, Column]:
+    return {
+        "key": P.first(F.col(PAYLOAD), P.path("url")),
+        "url": _get("url"),
+        "title": _get("title"),
+        "description": _get("description"),
+        "eligibility": _raw_field("eligibility", "eligible applicants"),
+        "amount": _get("estimated_value"),
+        "deadline": _get("closing_date"),
+        "category": _get("category"),
+        "state_or_territory": _raw_field("location", "state"),
+    }
+
 
-    ``_get`` keeps an empty string as it is, ``_first`` skips it and tries the next key.
-    """
-    dataset_url = F.concat(F.lit(DATASET_URL), _first("name"))
-    page_url = _first("url", "link")
+def _dataset() -> dict[str, Column]:
+    url = F.concat(F.lit(DATASET_URL), _first("name"))
     return {
-        "grantconnect": {
-            "key": P.first(F.col(PAYLOAD), P.path("url")),
-            "url": _get("url"),
-            "title": _get("title"),
-            "description": _get("description"),
-            "eligibility": _raw_field("eligibility", "eligible applicants"),
-            "amount": _get("estimated_value"),
-            "deadline": _get("closing_date"),
-            "category": _get("category"),
-            "state_or_territory": _raw_field("location", "state"),
-        },
-        "data_gov_au": {
-            "key": F.coalesce(_first("id"), dataset_url),
-            "url": dataset_url,
-            "title": _get("title"),
-            "description": _get("notes"),
-            "category": F.try_variant_get(F.col(PAYLOAD), "$.tags[0].name", "string"),
-            "state_or_territory": _get("organization", "title"),
-        },
-        "business_gov_au": {
-            "key": page_url,
-            "url": page_url,
-            "title": _get("title"),
-            "description": _first("description", "summary"),
-            "eligibility": _first("eligibility", "who_can_apply"),
-            "amount": _first("amount", "funding_amount", "estimated_value"),
-            "deadline": _first("deadline", "closing_date"),
-            "category": _get("category"),
-            "state_or_territory": _first("state_or_territory", "state", "location"),
-        },
-        "ato": {
-            "key": page_url,
-            "url": page_url,
-            "title": _get("title"),
-            "description": _first("description", "summary", "content"),
-            "category": _first("category", "topic"),
-        },
-        "fair_work_mapd": {
-            "key": page_url,
-            "url": page_url,
-            "title": _first("title", "award_name"),
-            "description": _first("description", "summary"),
-            "eligibility": _first("conditions", "coverage"),
-            "amount": _first("pay_rate", "amount"),
-            "category": F.coalesce(_first("category", "classification"), F.lit(DEFAULT_AWARD_CATEGORY)),
-        },
+        "key": F.coalesce(_first("id"), url),
+        "url": url,
+        "title": _get("title"),
+        "description": _get("notes"),
+        "category": F.try_variant_get(F.col(PAYLOAD), "$.tags[0].name", "string"),
+        "state_or_territory": _get("organization", "title"),
     }
 
 
+def _program() -> dict[str, Column]:
+    url = _first("url", "link")
+    return {
+        "key": url,
+        "url": url,
+        "title": _get("title"),
+        "description": _first("description", "summary"),
+        "eligibility": _first("eligibility", "who_can_apply"),
+        "amount": _first("amount", "funding_amount", "estimated_value"),
+        "deadline": _first("deadline", "closing_date"),
+        "category": _get("category"),
+        "state_or_territory": _first("state_or_territory", "state", "location"),
+    }
+
+
+def _guidance() -> dict[str, Column]:
+    url = _first("url", "link")
+    return {
+        "key": url,
+        "url": url,
+        "title": _get("title"),
+        "description": _first("description", "summary", "content"),
+        "category": _first("category", "topic"),
+    }
+
+
+def _award() -> dict[str, Column]:
+    url = _first("url", "link")
+    return {
+        "key": url,
+        "url": url,
+        "title": _first("title", "award_name"),
+        "description": _first("description", "summary"),
+        "eligibility": _first("conditions", "coverage"),
+        "amount": _first("pay_rate", "amount"),
+        "category": F.coalesce(_first("category", "classification"), F.lit(DEFAULT_AWARD_CATEGORY)),
+    }
+
+
+# Per source: the natural ``key`` and the filled record fields; fields left out are null.
+# ``_get`` keeps an empty string as it is, ``_first`` skips it and tries the next key.
+MAPPINGS = {
+    "grantconnect": _grant,
+    "data_gov_au": _dataset,
+    "business_gov_au": _program,
+    "ato": _guidance,
+    "fair_work_mapd": _award,
+}
+
+
 def check_source(source: str) -> str:
     if source not in SOURCES:
         raise KeyError(f"No normalizer registered for source '{source}'")
@@ -94,14 +113,14 @@ def check_source(source: str) -> str:
 
 def normalize_source(raw: DataFrame, source: str) -> DataFrame:
     """Normalize raw rows that all belong to one source; only its own mapping is in the plan."""
-    mapping = _mappings()[check_source(source)]
+    mapping = MAPPINGS[check_source(source)]()
     fields = [mapping.get(name, F.lit(None)).cast("string").alias(name) for name in FIELD_COLUMNS]
     return _records(raw, F.lit(source), mapping["key"], fields)
 
 
 def normalize(raw: DataFrame) -> DataFrame:
     """Normalize raw rows of any mix of sources, each by its own mapping; an unknown source is an error."""
-    mappings = _mappings()
+    mappings = {source: build() for source, build in MAPPINGS.items()}
     unknown = F.raise_error(F.concat(F.lit("No normalizer registered for source "), F.col("source")))
 
     def pick(name: str, default: Column) -> Column:

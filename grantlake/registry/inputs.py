@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlake.functions.ids import record_id
+from grantlake.session import spread
 
 FETCHED_AT = "2026-11-02T00:00:00.000000+00:00"
 RECORD_SITE = "https://records.example.org/"
@@ -63,7 +64,7 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_payloads(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """Every document as a payload of ``source``, with missing keys, empty values and alternate keys."""
-    d = document_fields(spark, sf_dir)
+    d = spread(document_fields(spark, sf_dir))
     lang, long_text = F.col("lang"), F.col("n_chars") >= 1000
     link = F.when(lang != "es", F.col("url"))
     fields: dict[str, list[Column]] = {

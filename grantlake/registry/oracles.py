@@ -122,7 +122,7 @@ HIDDEN = (
 
 
 def decoded(column: str) -> str:
-    for name, char in {**ENTITIES, "amp": "&"}.items():
+    for name, char in [(n, c) for n, c in ENTITIES.items() if n != "amp"] + [("amp", "&")]:
         column = f"replace({column}, '&{name};', {text(char)})"
     return column
 

@@ -19,6 +19,13 @@ SETTINGS = {
 }
 
 
+# The input split the jobs are sized for, and the most parts a shuffle is asked for.
+PARTITION_BYTES = 128 * 1024 * 1024
+MAX_PARTS = 200_000
+# Estimates from here on stand for "unknown".
+UNKNOWN_BYTES = 1 << 60
+
+
 def build_session(app_name: str = "grantlake", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -41,21 +48,29 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate, which for file scans is the size on disk; None when it does not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_BYTES else None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core some rows when the input is smaller than the cluster.
 
-    A large table already has more scan partitions than cores and passes through
-    untouched, so this never shuffles at scale.
+    A table that already fills the cores passes through untouched, so this never shuffles at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size, cores = estimated_bytes(df), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size is not None and size < cores * PARTITION_BYTES else df
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:
-    """Shuffle rows by a key that what follows needs together, into at least as many parts as the input has.
+    """Shuffle rows by a key that what follows needs together, in parts of about one input split.
 
     The number is given so that adaptive execution does not merge parts that look small here but
     grow many times when the rows are taken apart.
     """
-    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = estimated_bytes(df)
+    if size is not None:
+        n_parts = max(n_parts, min(size // PARTITION_BYTES, MAX_PARTS))
     return df.repartition(n_parts, key)
