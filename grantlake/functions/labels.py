@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,14 +33,15 @@ CASCADE_WORDS = (
 CASCADE_DEFAULT = "grants"
 
 
+def any_of(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     """True if any word is a substring. Words that hold a shorter listed word add nothing and are left out."""
     words = set(words)
     needed = sorted(w for w in words if not any(o != w and o in w for o in words))
-    hit = F.contains(text, F.lit(needed[0]))
-    for word in needed[1:]:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+    return any_of(F.contains(text, F.lit(word)) for word in needed)
 
 
 def question_class(question: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +38,3 @@ def object_or_empty(payload: Column, as_json: Column) -> tuple[Column, Column]:
     refused = F.raise_error(F.concat(F.lit("payload is not an object: "), F.substring(as_json, 1, 80)))
     checked = F.when(falsy, F.parse_json(F.lit("{}"))).when(as_json.startswith("{"), payload).otherwise(refused)
     return checked, F.when(falsy, "{}").otherwise(as_json)
-
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

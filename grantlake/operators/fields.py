@@ -48,9 +48,8 @@ def detail_values(pages: DataFrame) -> DataFrame:
     tokens = _first_description(page_tokens(pages.where(F.col("html").rlike(marks))))
     tag, text = F.col("tag"), F.col("text")
     cell = tag.isin(*CELL_TAGS)
-    first_pos = tokens.select("page_id", "pos", "kind", "tag", "token", "text", "level", "first_description")
     found = elements(
-        first_pos,
+        tokens,
         wanted=tag.isin(*TERM_TAGS, *CELL_TAGS) | F.col("first_description"),
         box=tag == "tr",
         boxed=cell,

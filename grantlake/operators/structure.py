@@ -6,13 +6,14 @@ every window and grouping below runs on rows that are already together.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantlake.functions.html import attribute, decode_entities, markup_tokens, visible
-from grantlake.functions.payload import any_of
+from grantlake.functions.labels import any_of
 from grantlake.functions.text import strip
 from grantlake.session import spread_by
 
@@ -75,6 +76,10 @@ def _raw_tokens(pages: DataFrame) -> DataFrame:
     )
 
 
+def tag_in(tags: Iterable[str]) -> Column:
+    return F.expr("tag IN (" + ", ".join(f"'{tag}'" for tag in tags) + ")")
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
     """Opening tags and text runs of ``pages(page_id, html)`` with their nesting ``level``.
 
@@ -87,13 +92,13 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
     events, implied, stray = [], [], []
     for number, (items, open_ends, close_ends, nested) in enumerate(OPTIONAL_END):
-        item, name = tag.isin(*items), f"event_{number}"
-        ends = is_close & tag.isin(*close_ends)
+        item, name = tag_in(items), f"event_{number}"
+        ends = is_close & tag_in(close_ends)
         if open_ends:
-            ends = ends | (is_open & tag.isin(*open_ends))
+            ends = ends | (is_open & tag_in(open_ends))
         event = F.when(item, F.when(is_open, BEGIN).otherwise(END))
         if nested:
-            event = event.when(is_open & tag.isin(*nested), NEST)
+            event = event.when(is_open & tag_in(nested), NEST)
         events.append(F.when(tag.isNotNull(), event.when(ends, OUT)).cast("byte").alias(name))
         last = F.coalesce(F.last(name, ignorenulls=True).over(before), F.lit(END))
         # An item still open is closed by the next item or by an enclosing end.
@@ -107,7 +112,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     inline_step = F.when(F.col("inline"), F.when(is_open, 1).otherwise(-1)).otherwise(0)
     counted = (
         _raw_tokens(pages)
-        .select("*", F.coalesce(tag.isin(*INLINE_TAGS), F.lit(False)).alias("inline"), *events)
+        .select("*", F.coalesce(tag_in(INLINE_TAGS), F.lit(False)).alias("inline"), *events)
         .select("page_id", "pos", "kind", "tag", "text", "token", "inline", step.cast("int").alias("step"))
         .select(
             *["page_id", "pos", "kind", "tag", "text", "token", "inline"],

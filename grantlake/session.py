@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the jobs are written for. Applied only by `build_session`;
@@ -35,19 +33,6 @@ def build_session(app_name: str = "grantlake", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder named by ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="grantlake-checkpoint-"))
-    return df.checkpoint()
-
-
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate, which for file scans is the size on disk; None when it does not know."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
