@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024)
+
 # Runtime SQL settings the jobs are written for. Applied only by `build_session`;
-# a session handed in by the caller is left alone.
+# a session handed in by the caller is left alone, but for the batch size (see `bound_batches`).
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -13,7 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Whole documents travel to Arrow tasks, so bound batches by bytes, not only by rows.
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 * 1024 * 1024),
+    BATCH_BYTES_KEY: BATCH_BYTES,
 }
 
 
@@ -33,6 +35,17 @@ def build_session(app_name: str = "grantlake", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Limit Arrow batches by bytes where the session does not say how large they may get.
+
+    By rows alone, ten thousand whole documents would make one batch. Results do not depend on it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES_KEY, None) is None:
+        conf.set(BATCH_BYTES_KEY, BATCH_BYTES)
+    return df
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate, which for file scans is the size on disk; None when it does not know."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
