@@ -15,8 +15,8 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-# Tables of at most so many narrow rows, counted first, may be broadcast.
-MAX_BROADCAST_ROWS = 200_000
+# Tables of at most so many numbers or narrow rows, counted first, may be broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

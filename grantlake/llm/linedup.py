@@ -10,40 +10,74 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import byte_values, cut, mixed
-from grantlake.llm.neardup import SHINGLE_WORDS, SIMILARITY, WordHashes
+from grantlake.llm.common import broadcast_if_small, byte_values, cut, mixed
+from grantlake.llm.neardup import SHINGLE_WORDS, SIMILARITY
 from grantlake.session import bound_batches
 
 # A line's tokens are its word shingles; lines with fewer words have none and always stay.
 MIN_WORDS = SHINGLE_WORDS
 # Token counts are kept in a table of fixed size, which travels to every task.
 COUNT_BITS = 16
+LINE_END = b"\0"
 # A sorting key holds line, rarity and token.
 LINE_BITS, RARITY_BITS, TOKEN_BITS = 14, 6, 44
+SIZE_BITS = 10
+MAX_SIZE = (1 << SIZE_BITS) - 1
 # Up to so many lines with one token are paired at once; more are paired with the first, then settled exactly.
 SMALL_RUN = 32
 
 
-def line_shingles(texts: list[bytes | None], hashes: WordHashes) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-    """Lines with tokens as (text index, line number, digest of the words), and all their tokens with line indexes."""
-    lines, values, sizes = [], [], []
-    for index, text in enumerate(texts):
-        if not text:
-            continue
-        for number, line in enumerate(text.lower().split(b"\n")):
-            words = line.split()
-            if len(words) >= MIN_WORDS:
-                lines.append((index, number, xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)))
-                values += map(hashes.__getitem__, words)
-                sizes.append(len(words))
-    words = np.array(values, dtype=np.uint64)
-    owner = np.repeat(np.arange(len(lines)), sizes)
-    n = max(len(words) - SHINGLE_WORDS + 1, 0)
-    found = words[:n]
+class WordIds(dict):
+    """Small numbers of words, and their hashes by number; started anew when there are too many. The line end is 0."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
+        self[LINE_END] = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        if number == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[number] = xxhash.xxh64_intdigest(word)
+        return number
+
+    def of(self, texts: list[bytes]) -> np.ndarray:
+        """The words of all texts in turn, with a line end after every line."""
+        if len(self) > self.LIMIT:
+            self.clear()
+            self.__init__()
+        words: list[bytes] = []
+        for text in texts:
+            # A zero byte stands for the line end, so those in the text give way.
+            words += (text.replace(LINE_END, b"\x01").replace(b"\n", b" \0 ") + b" \0").split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def line_shingles(texts: list[bytes | None], words: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines with tokens: text index, line number, digest of the words; and all their tokens with line indexes."""
+    ids = words.of([(t or b"").lower() for t in texts])
+    ends = np.flatnonzero(ids == 0)
+    line = np.cumsum(ids == 0) - (ids == 0)
+    sizes = np.diff(ends, prepend=-1) - 1
+    n_lines = np.array([(t or b"").count(b"\n") + 1 for t in texts])
+    text = np.repeat(np.arange(len(texts)), n_lines)
+    number = np.arange(len(ends)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+    hashes = words.hashes[ids]
+    place = np.arange(len(ids)) - np.repeat(ends - sizes, sizes + 1)
+    placed = mixed(hashes + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    digests = np.add.reduceat(placed, ends - sizes) if len(ends) else placed
+    enough = sizes >= MIN_WORDS
+    n = max(len(ids) - SHINGLE_WORDS + 1, 0)
+    found = hashes[:n]
     for i in range(1, SHINGLE_WORDS):
-        found = mixed(found) + words[i : n + i]
-    inside = owner[:n] == owner[SHINGLE_WORDS - 1 :][:n]
-    return lines, mixed(found[inside]), owner[:n][inside]
+        found = mixed(found) + hashes[i : n + i]
+    # A shingle lies within a line, before its end.
+    inside = (line[:n] == line[SHINGLE_WORDS - 1 :][:n]) & (ids[SHINGLE_WORDS - 1 :][:n] != 0)
+    owner = (np.cumsum(enough) - 1)[line[:n][inside]]
+    return text[enough], number[enough], mixed(digests[enough]).view(np.int64), mixed(found[inside]), owner
 
 
 def _parts(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.RecordBatch]:
@@ -53,7 +87,7 @@ def _parts(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.Recor
 
 def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each line's digest and place; at the end the task's token counts, with `line` below 0 as the mark."""
-    hashes, counts = WordHashes(), np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    words, counts = WordIds(), np.zeros(1 << COUNT_BITS, dtype=np.int64)
     names = ["digest", "doc_id", "line"]
 
     def rows(digest, doc_id, line) -> pa.RecordBatch:
@@ -61,10 +95,9 @@ def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(arrays, names)
 
     for part in _parts(batches):
-        lines, tokens, _ = line_shingles(byte_values(part.column("text")), hashes)
+        text, number, digests, tokens, _ = line_shingles(byte_values(part.column("text")), words)
         counts += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
-        ids = part.column("doc_id").to_pylist()
-        yield rows([d for _, _, d in lines], [ids[i] for i, _, _ in lines], [n for _, n, _ in lines])
+        yield rows(digests, part.column("doc_id").to_numpy()[text], number)
     used = np.flatnonzero(counts)
     yield rows(used, counts[used], np.full(len(used), -1))
 
@@ -80,14 +113,17 @@ def prefix_size(size: np.ndarray) -> np.ndarray:
     return size - -(-SIMILARITY * size // 100) + 1
 
 
-def prefixes(texts: list[bytes | None], hashes: WordHashes, rarity: np.ndarray) -> tuple[np.ndarray, ...]:
-    """`token, digest, size, place` of the rarest tokens of every line, as many as its prefix takes."""
-    lines, tokens, owner = line_shingles(texts, hashes)
+def prefixes(texts: list[bytes | None], words: WordIds, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`key, digest` of the rarest tokens of every line, as many as its prefix takes.
+
+    The key holds the token, the number of tokens of the line and the token's place, so that it sorts by token; a number
+    that does not fit is the largest that does, and is not filtered by.
+    """
+    _, _, digests, tokens, owner = line_shingles(texts, words)
     kinds = rarity[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-    digests = np.array([d for _, _, d in lines], dtype=np.int64)
-    cuts = np.searchsorted(owner, np.arange(0, len(lines) + (1 << LINE_BITS), 1 << LINE_BITS))
+    cuts = np.searchsorted(owner, np.arange(0, len(digests) + (1 << LINE_BITS), 1 << LINE_BITS))
     found = []
-    for first, (low, high) in zip(range(0, len(lines), 1 << LINE_BITS), zip(cuts[:-1], cuts[1:])):
+    for first, (low, high) in zip(range(0, len(digests), 1 << LINE_BITS), zip(cuts[:-1], cuts[1:])):
         line = (owner[low:high] - first).astype(np.uint64)
         key = (line << np.uint64(RARITY_BITS) | kinds[low:high]) << np.uint64(TOKEN_BITS)
         key = np.unique(key | (mixed(tokens[low:high]) >> np.uint64(64 - TOKEN_BITS)))
@@ -96,17 +132,20 @@ def prefixes(texts: list[bytes | None], hashes: WordHashes, rarity: np.ndarray)
         place = np.arange(len(key)) - np.concatenate([[0], np.cumsum(size)])[line]
         size = size[line]
         rare = place < prefix_size(size)
-        token = (key & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)
-        found.append((token[rare], digests[first + line[rare]], size[rare], place[rare]))
-    return tuple(np.concatenate(c) for c in zip(*found)) if found else tuple(np.empty(0, np.int64) for _ in range(4))
+        token = (key[rare] & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)
+        packed = (token - (1 << TOKEN_BITS - 1)) << 2 * SIZE_BITS
+        packed |= np.minimum(size[rare], MAX_SIZE) << SIZE_BITS | np.minimum(place[rare], MAX_SIZE)
+        found.append((packed, digests[first + line[rare]]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _similar_enough(a_size, a_place, b_size, b_place) -> np.ndarray:
     """Length and positional filters: whether enough tokens are left from a shared one on."""
     needed = -(-SIMILARITY * (a_size + b_size) // (100 + SIMILARITY))
-    return (100 * np.minimum(a_size, b_size) >= SIMILARITY * np.maximum(a_size, b_size)) & (
-        1 + np.minimum(a_size - a_place, b_size - b_place) - 1 >= needed
+    near = (100 * np.minimum(a_size, b_size) >= SIMILARITY * np.maximum(a_size, b_size)) & (
+        np.minimum(a_size - a_place, b_size - b_place) >= needed
     )
+    return near | (a_size == MAX_SIZE) | (b_size == MAX_SIZE)
 
 
 def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +212,8 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held, hub
 
     for batch in batches:
-        new = np.array([batch.column(c).to_numpy() for c in ("token", "digest", "size", "place")], dtype=np.int64)
+        key, digest = (batch.column(c).to_numpy() for c in ("key", "digest"))
+        new = np.array([key >> 2 * SIZE_BITS, digest, key >> SIZE_BITS & MAX_SIZE, key & MAX_SIZE])
         x = np.concatenate([rest, new], axis=1)
         if not x.shape[1]:
             continue
@@ -191,15 +231,13 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full token sets of the asked lines of each text."""
-    hashes = WordHashes()
+    words = WordIds()
     for part in _parts(batches, 128):
         asked = part.column("digests").to_pylist()
-        lines, tokens, owner = line_shingles(byte_values(part.column("text")), hashes)
-        bounds = np.searchsorted(owner, np.arange(len(lines) + 1))
-        found = {}
-        for k, (index, _, digest) in enumerate(lines):
-            if digest not in found and digest in asked[index]:
-                found[digest] = np.unique(tokens[bounds[k] : bounds[k + 1]]).tobytes()
+        text, _, digests, tokens, owner = line_shingles(byte_values(part.column("text")), words)
+        bounds = np.searchsorted(owner, np.arange(len(digests) + 1))
+        wanted = np.flatnonzero(np.isin(digests, np.array([d for own in asked for d in own], dtype=np.int64)))
+        found = {int(digests[k]): np.unique(tokens[bounds[k] : bounds[k + 1]]).tobytes() for k in wanted}
         yield pa.RecordBatch.from_arrays(
             [pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["digest", "tokens"]
         )
@@ -220,8 +258,9 @@ def matches(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """`earlier, later`: the pairs of line digests whose full sets are similar enough, by first place."""
     asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
     places = classes.join(asked, "digest").groupBy(F.col("first.doc_id").alias("doc_id"))
-    wanted = places.agg(F.collect_list("digest").alias("digests"))
-    texts = bound_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"))
+    wanted = cut(places.agg(F.collect_list("digest").alias("digests")))
+    n_wanted = wanted.agg(F.count("*") + F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]
+    texts = bound_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(wanted, n_wanted), "doc_id"))
     sets = texts.mapInArrow(_line_sets, "digest long, tokens binary").groupBy("digest").agg(F.min("tokens").alias("tokens"))
     known = cut(sets.join(classes, "digest"))
     a = known.select(F.col("digest").alias("a"), F.col("tokens").alias("a_tokens"))
@@ -257,16 +296,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     classes = cut(first_doc.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.sum("n").alias("n")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        words = WordIds()
         for part in _parts(batches):
-            token, digest, size, place = prefixes(byte_values(part.column("text")), hashes, rarity)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token), pa.array(digest), pa.array(size, pa.int32()), pa.array(place, pa.int32())],
-                ["token", "digest", "size", "place"],
-            )
-
-    rare = own.mapInArrow(emit, "token long, digest long, size int, place int")
-    sorted_rows = rare.repartition("token").sortWithinPartitions("token", "digest")
+            found = prefixes(byte_values(part.column("text")), words, rarity)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["key", "digest"])
+
+    rare = own.mapInArrow(emit, "key long, digest long")
+    token = F.shiftright("key", 2 * SIZE_BITS)
+    sorted_rows = rare.repartition(token).sortWithinPartitions("key", "digest")
     runs = cut(sorted_rows.mapInArrow(_pair_runs, "token long, a long, b long, size int, place int"))
     tried = runs.where("token IS NULL").select("a", "b").distinct()
     found = cut(matches(docs, classes, cut(tried)))
@@ -288,14 +325,17 @@ def open_pairs(long: DataFrame, classes: DataFrame, found: DataFrame) -> DataFra
     earlier = placed.where("a != b").alias("y")
     n, m = F.col("x.size"), F.col("y.size")
     enough = F.least(n - F.col("x.place"), m - F.col("y.place")) * (100 + SIMILARITY) >= SIMILARITY * (n + m)
-    near = (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & (F.col("y.first") < F.col("x.first")) & enough
+    near = (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & enough | (F.greatest(n, m) == MAX_SIZE)
+    near &= F.col("y.first") < F.col("x.first")
     joined = left.join(earlier, (F.col("x.token") == F.col("y.token")) & near)
     return joined.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
 
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """The documents with all their columns, the given lines cut out of the text; n_chars follows where it is a column."""
-    gone = removed.select(F.col("doc_id").alias("_line_doc"), F.col("lines").alias("_lines"))
+    gone = cut(removed.select(F.col("doc_id").alias("_line_doc"), F.col("lines").alias("_lines")))
+    n_gone = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()[0]
+    gone = broadcast_if_small(gone, n_gone)
     joined = docs.join(gone, docs["doc_id"] == gone["_line_doc"], "left")
     kept = F.filter(F.split(docs["text"], "\n", -1), lambda _, i: ~F.array_contains(F.col("_lines"), i))
     text = F.when(F.col("_lines").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
