@@ -60,7 +60,7 @@ def printed(sketch: Column) -> Column:
 
 
 def edited_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct documents with `n_rows, text, edited`, and the `key_id, key_text` of each one's next (`next_id, next_text`).
+    """Distinct documents with `text, edited`; and `doc_id, n_rows` and the next one's key (`next_id, next_text`) of each.
 
     Next is by falling doc_id (null last; equal ids by text hash), and the first after the last. In the edited text
     the last third of the characters gives way to as many of the next document's first ones, or all.
@@ -68,26 +68,27 @@ def edited_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[c.alias(k) for k, c in document_key().items()])
     narrow = keyed.select("doc_id", F.length("text").alias("n_chars"), *KEY).groupBy(*KEY)
-    known = narrow.agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"))
+    known = narrow.agg(F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.count("*").alias("n_rows"))
     placed = cut(running_totals(known, [F.col("doc_id").desc_nulls_last(), F.col("key_text")], {"place": F.lit(1)}))
     n = placed.count()
     asking = placed.select(
-        F.col("key_id").alias("asker_id"), F.col("key_text").alias("asker_text"),
+        F.col("key_id").alias("asker_id"), F.col("key_text").alias("asker_text"), "doc_id", "n_rows",
         F.floor(F.col("n_chars") / 3).cast("int").alias("asked"), ((F.col("place") + 1) % max(n, 1)).alias("place"),
     )
     following = cut(asking.join(placed.select("place", *KEY), "place"))
-    once = keyed.groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("n_rows"))
-    begun = once.join(following, KEY).select(
+    # Every use needs these columns alone, so that one shuffle of the texts serves all.
+    once = keyed.select(*KEY, "text").groupBy(*KEY).agg(F.first("text").alias("text"))
+    begun = once.join(following.select(*KEY, "asker_id", "asker_text", "asked"), KEY).select(
         F.col("asker_id").alias("key_id"), F.col("asker_text").alias("key_text"),
         F.substring(F.col("text"), F.lit(1), F.col("asked")).alias("begin"),
     )
     length = F.length("text")
     kept = F.substring(F.col("text"), F.lit(1), length - F.floor(length / 3).cast("int"))
     joined = once.join(begun, KEY)
-    edited = joined.select(*KEY, "doc_id", "n_rows", "text", F.concat(kept, "begin").alias("edited"))
+    edited = joined.select(*KEY, "text", F.concat(kept, "begin").alias("edited"))
     nexts = following.select(
         F.col("asker_id").alias("key_id"), F.col("asker_text").alias("key_text"),
-        F.col("key_id").alias("next_id"), F.col("key_text").alias("next_text"),
+        "doc_id", "n_rows", F.col("key_id").alias("next_id"), F.col("key_text").alias("next_text"),
     )
     return edited, nexts
 
@@ -104,7 +105,7 @@ def compared_fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     sketches = fingerprints(texts, [*KEY, "kind"], samples).groupBy(*KEY)
     pair = sketches.agg(*[F.max(F.when(F.col("kind") == i, F.col("sketch"))).alias(c) for i, c in enumerate(("sketch", "edited_sketch"))])
     facts = edited.select(
-        *KEY, "doc_id", "n_rows", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
+        *KEY, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
     )
     found = cut(facts.join(pair, KEY, "left"))
     other = found.select(F.col("key_id").alias("next_id"), F.col("key_text").alias("next_text"), F.col("sketch").alias("next_sketch"))

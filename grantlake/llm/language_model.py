@@ -21,8 +21,9 @@ PAD = b"\n" * (ORDER - 1)
 ALPHABET = 256
 # Text of one scoring block, and of one array pass over it.
 BLOCK_BYTES, SLICE_BYTES = 16 * 1024 * 1024, 1024 * 1024
-# A document is rejected above median + SPREAD * (upper quantile - median) of its language's trusted documents.
-UPPER, SPREAD = 0.99, 3.0
+# A document is rejected above median + SPREAD * (upper quantile - median) of its language's trusted documents, whose own
+# scores are on the low side, being trained on; but not below MARGIN times the median perplexity.
+UPPER, SPREAD, MARGIN = 0.99, 3.0, 2.5
 # Log-perplexities are counted in steps of this, so that quantiles are exact sums of counts.
 STEP = 0.002
 
@@ -255,7 +256,7 @@ def thresholds(scores: DataFrame) -> DataFrame:
     shares = steps.withColumn("share", F.sum("n").over(by_step) / F.sum("n").over(Window.partitionBy("lang")))
     quantile = [F.min(F.when(F.col("share") >= q, (F.col("step") + 1) * STEP)).alias(name) for q, name in ((0.5, "q50"), (UPPER, "q_upper"))]
     found = shares.groupBy("lang").agg(*quantile)
-    return found.select("lang", (F.col("q50") + SPREAD * (F.col("q_upper") - F.col("q50"))).alias("limit"))
+    return found.select("lang", (F.col("q50") + F.greatest(F.lit(float(np.log(MARGIN))), SPREAD * (F.col("q_upper") - F.col("q50")))).alias("limit"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
