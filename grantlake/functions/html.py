@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,52 +14,54 @@ from grantlake.functions.text import non_empty, strip
 GAP = "<!>"
 # Comments, and elements whose text never counts as page text.
 HIDDEN_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|template|rt|rp)\b[^>]*>.*?(?:</\1\s*>|\z)"
-TAG_BODY = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# A quote opens a value only after an equals sign; any other is an ordinary character of the tag.
+TAG_BODY = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 TOKEN = rf"<[a-zA-Z/!?]{TAG_BODY}>|[^<]++|<"
 FIRST_H1 = r"(?is)<h1\b[^>]*>(.*?)(?:</h1\s*>|\z)"
-ANCHOR_HREF = rf"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+# Attributes are passed over possessively, so that a tag of any length is read in one go without recursion.
+ONE_ATTRIBUTE = r"""(?!href\s*+=)[^\s>][^\s=>]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+ANCHOR_HREF = rf"""(?is)<a(?=\s)(?:[\s/]*+{ONE_ATTRIBUTE})*+[\s/]*+href\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)"""
 ATTRIBUTE = r"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
-# Named character references decoded in text.
-ENTITIES = {
-    "amp": "&",
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": "\xa0",
-    "copy": "©",
-    "reg": "®",
-    "trade": "™",
-    "middot": "·",
-    "bull": "•",
-    "hellip": "…",
-    "ndash": "–",
-    "mdash": "—",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "laquo": "«",
-    "raquo": "»",
-    "pound": "£",
-    "euro": "€",
-    "cent": "¢",
-    "deg": "°",
-    "times": "×",
-    "frac12": "½",
-}
-REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[a-zA-Z][a-zA-Z0-9]*;)"
+# The standard's named references, most used first, because a map is searched in order.
+FREQUENT = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "middot;", "mdash;", "ndash;", "rsquo;", "lsquo;")
+NAMED = {name: html5[name] for name in sorted(html5, key=lambda n: (FREQUENT.index(n) if n in FREQUENT else 99, n))}
+# Names that also count without a semicolon, longest first.
+BARE = sorted((name for name in NAMED if not name.endswith(";")), key=len, reverse=True)
+BARE_NAME = f"^&({'|'.join(BARE)})"
+REFERENCE = rf"&(?:#[0-9]++;?|#[xX][0-9a-fA-F]++;?|[a-zA-Z][a-zA-Z0-9]*+;|(?:{'|'.join(BARE)}))"
+REPLACEMENT = "\ufffd"
+
+
+def _windows_1252(code: int) -> str:
+    return bytes([code]).decode("cp1252", "ignore") or chr(code)
+
+
+# Numbers from 128 to 159 stand for characters of the Windows code page.
+WINDOWS = {format(code, "x"): _windows_1252(code) for code in range(128, 160)}
+
+
+def _constant_map(values: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
 
 
 def _referenced(reference: Column) -> Column:
-    """The character of one reference such as ``&amp;``, ``&#39;`` or ``&#x2019;``; an unknown name stays as it is."""
-    named = F.from_json(F.lit(json.dumps({f"&{n};": c for n, c in ENTITIES.items()})), "map<string,string>")
-    digits = F.regexp_extract(reference, r"#([xX]?[0-9a-fA-F]+)", 1)
-    is_hex = F.lower(digits).startswith("x")
-    number = F.when(is_hex, F.conv(F.substring(digits, 2, 8), 16, 16)).otherwise(F.conv(digits, 10, 16))
-    character = F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")
-    return F.when(digits != "", character).otherwise(F.coalesce(F.try_element_at(named, reference), reference))
+    """The character of one reference such as ``&amp;``, ``&#39;`` or ``&#x2019;``; an unknown name stays as it is.
+
+    Numbers that are no character give the replacement character.
+    """
+    digits = F.regexp_extract(reference, r"#[xX]?0*+([0-9a-fA-F]*)", 1)
+    is_hex = reference.rlike("^&#[xX]")
+    number = F.when(F.length(digits) > 7, "7fffffff").when(is_hex, F.lower(digits)).otherwise(F.lower(F.conv(digits, 10, 16)))
+    wide = F.lpad(number, 8, "0")
+    valid = (wide > "00000000") & (wide <= "0010ffff") & ~wide.between("0000d800", "0000dfff")
+    character = F.decode(F.unhex(F.when(valid, wide).otherwise("0000fffd")), "UTF-32")
+    numeric = F.coalesce(F.try_element_at(_constant_map(WINDOWS), number), character)
+    named = _constant_map(NAMED)
+    bare = F.regexp_extract(reference, BARE_NAME, 1)
+    prefix = F.concat(F.try_element_at(named, bare), F.substring(reference, F.length(bare) + 2, F.length(reference)))
+    whole = F.try_element_at(named, F.substring(reference, F.lit(2), F.length(reference)))
+    return F.when(reference.startswith("&#"), numeric).otherwise(F.coalesce(whole, F.when(bare != "", prefix), reference))
 
 
 def decode_entities(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,13 +27,23 @@ PAY_RATE = (
 PAY_RATE_TYPE = "array<struct<classification:string,amount:double,period:string>>"
 
 
+# The zero of every run of ten decimal digits that Unicode has.
+ZEROS = [c for c in range(0x110000) if unicodedata.decimal(chr(c), None) == 0]
+DIGITS = "".join(chr(zero + i) for zero in ZEROS for i in range(10))
+
+
+def ascii_number(text: Column) -> Column:
+    """A number in any script's digits; null if it is none."""
+    return F.translate(text, DIGITS, "0123456789" * len(ZEROS)).try_cast("double")
+
+
 def pay_rates(text: Column) -> Column:
     """All rates of a text in order, as ``array<struct<classification, amount, period>>``."""
 
     def rate(match: Column) -> Column:
         return F.struct(
             strip(F.regexp_extract(match, PAY_RATE, 1)).alias("classification"),
-            F.regexp_extract(match, PAY_RATE, 2).cast("double").alias("amount"),
+            ascii_number(F.regexp_extract(match, PAY_RATE, 2)).alias("amount"),
             F.lower(F.regexp_extract(match, PAY_RATE, 3)).alias("period"),
         )
 

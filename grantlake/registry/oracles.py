@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from grantlake.functions.html import ENTITIES
 from grantlake.functions.labels import (
     CASCADE_DEFAULT,
     CASCADE_WORDS,
@@ -121,6 +120,10 @@ HIDDEN = (
 )
 
 
+# The references that the pages hold, spelled out independently of the decoder.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "©", "middot": "·", "amp": "&"}
+
+
 def decoded(column: str) -> str:
     for name, char in [(n, c) for n, c in ENTITIES.items() if n != "amp"] + [("amp", "&")]:
         column = f"replace({column}, '&{name};', {text(char)})"

@@ -56,7 +56,15 @@ def with_line_order(lines: DataFrame) -> DataFrame:
 
     Paths hold the run date, so later dates of a source sort after earlier ones. Stable under retries.
     """
-    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    path = F.col("_metadata.file_path")
+    place = F.struct(
+        F.regexp_extract(path, r"^(.*/)", 1).alias("folder"),
+        # Part numbers are padded to five digits only, so they do not sort as text.
+        F.regexp_extract(path, r"/part-(\d{1,18})[^/]*$", 1).try_cast("long").alias("part"),
+        path.alias("file_path"),
+        "_metadata.file_block_start",
+        F.monotonically_increasing_id().alias("row"),
+    )
     return lines.select("*", place.alias(LINE_ORDER))
 
 

@@ -54,6 +54,9 @@ def run_incremental(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         ordered = with_line_order(batch).drop("_metadata")
+        unknown = ordered.where(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False))).select("source").first()
+        if unknown is not None:
+            raise ValueError(f"raw lines of a source without a mapping: {unknown['source']!r}")
         for source in SOURCES:
             lines = ordered.where(F.col("source") == source).drop("source")
             if lines.isEmpty():

@@ -164,4 +164,4 @@ def test_status_and_paging(spark):
 def test_structure_takes_one_shuffle_and_no_python(spark):
     text = fields.labelled_fields(pages(spark, "<dl><dt>a<dd>b</dl>"))._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange ") == 1
-    assert "Python" not in text and "Arrow" not in text
+    assert "EvalPython" not in text and "InArrow" not in text and "InPandas" not in text
