@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlake.llm.common import broadcast_if_small, byte_values, cut, mixed
@@ -120,6 +120,10 @@ def prefixes(texts: list[bytes | None], words: WordIds, rarity: np.ndarray) -> t
     that does not fit is the largest that does, and is not filtered by.
     """
     _, _, digests, tokens, owner = line_shingles(texts, words)
+    # Equal lines have equal rows: one of them will do.
+    once = np.zeros(len(digests), dtype=bool)
+    once[np.unique(digests, return_index=True)[1]] = True
+    tokens, owner, digests = tokens[once[owner]], (np.cumsum(once) - 1)[owner[once[owner]]], digests[once]
     kinds = rarity[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
     cuts = np.searchsorted(owner, np.arange(0, len(digests) + (1 << LINE_BITS), 1 << LINE_BITS))
     found = []
@@ -234,46 +238,58 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordIds()
     for part in _parts(batches, 128):
         asked = part.column("digests").to_pylist()
-        text, _, digests, tokens, owner = line_shingles(byte_values(part.column("text")), words)
+        _, _, digests, tokens, owner = line_shingles(byte_values(part.column("text")), words)
         bounds = np.searchsorted(owner, np.arange(len(digests) + 1))
         wanted = np.flatnonzero(np.isin(digests, np.array([d for own in asked for d in own], dtype=np.int64)))
-        found = {int(digests[k]): np.unique(tokens[bounds[k] : bounds[k + 1]]).tobytes() for k in wanted}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.binary())], ["digest", "tokens"]
-        )
+        found = {int(digests[k]): np.unique(tokens[bounds[k] : bounds[k + 1]]).view(np.int64) for k in wanted}
+        ends = np.cumsum([0, *map(len, found.values())])
+        sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found.values()])))
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), sets], ["digest", "tokens"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        good = []
-        for a, b in zip(byte_values(batch.column("a_tokens")), byte_values(batch.column("b_tokens"))):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            good.append(100 * shared >= SIMILARITY * (len(x) + len(y) - shared))
-        kept = batch.filter(pa.array(good, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
-
-
-def matches(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """`earlier, later`: the pairs of line digests whose full sets are similar enough, by first place."""
-    asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+def line_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """`digest, tokens, first`: the full token sets of the asked lines, each read from the document it is first in."""
     places = classes.join(asked, "digest").groupBy(F.col("first.doc_id").alias("doc_id"))
     wanted = cut(places.agg(F.collect_list("digest").alias("digests")))
     n_wanted = wanted.agg(F.count("*") + F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]
-    texts = bound_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(wanted, n_wanted), "doc_id"))
-    sets = texts.mapInArrow(_line_sets, "digest long, tokens binary").groupBy("digest").agg(F.min("tokens").alias("tokens"))
-    known = cut(sets.join(classes, "digest"))
-    a = known.select(F.col("digest").alias("a"), F.col("tokens").alias("a_tokens"))
-    b = known.select(F.col("digest").alias("b"), F.col("tokens").alias("b_tokens"))
-    good = bound_batches(pairs.join(a, "a").join(b, "b")).mapInArrow(_verify, "a long, b long")
-    a_first = classes.select(F.col("digest").alias("a"), F.col("first").alias("a_first"))
-    b_first = classes.select(F.col("digest").alias("b"), F.col("first").alias("b_first"))
-    ordered = good.join(a_first, "a").join(b_first, "b").where("a_first != b_first")
-    swapped = F.col("a_first") > F.col("b_first")
-    return ordered.select(
-        F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("earlier"),
-        F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("later"),
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(wanted, n_wanted), "doc_id")
+    sets = bound_batches(own).mapInArrow(_line_sets, "digest long, tokens array<long>")
+    return sets.groupBy("digest").agg(F.min("tokens").alias("tokens")).join(classes.select("digest", "first"), "digest")
+
+
+def similar(a: Column, b: Column) -> Column:
+    """Whether two full token sets have a Jaccard similarity of SIMILARITY percent or more."""
+    return F.size(F.array_intersect(a, b)) * (100 + SIMILARITY) >= SIMILARITY * (F.size(a) + F.size(b))
+
+
+def later_lines(docs: DataFrame, classes: DataFrame, runs: DataFrame) -> DataFrame:
+    """`digest` of every line that is similar to an earlier one: from the pairs, then from what long runs leave open."""
+    pairs = cut(runs.where("token IS NULL").select("a", "b").distinct())
+    long = runs.where("token IS NOT NULL AND a != b").select("token", F.col("a").alias("digest"), "size", "place")
+    asked = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).union(long.select("digest")).distinct()
+    known = cut(line_sets(docs, classes, asked))
+    a, b = (known.select(F.col("digest").alias(n), F.col("tokens").alias(f"{n}_tokens"), F.col("first").alias(f"{n}_first")) for n in "ab")
+    good = pairs.join(a, "a").join(b, "b").where(similar(F.col("a_tokens"), F.col("b_tokens")) & (F.col("a_first") != F.col("b_first")))
+    later = cut(good.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a")).otherwise(F.col("b")).alias("digest")).distinct())
+    if long.isEmpty():
+        return later
+    return later.union(open_lines(long, known, later))
+
+
+def open_lines(long: DataFrame, known: DataFrame, later: DataFrame) -> DataFrame:
+    """`digest` of the lines of long runs that are not in `later` but similar to an earlier line of their run.
+
+    A line is asked for once: the semi join ends at the first similar line, and no pairs come out of it.
+    """
+    left = cut(long.join(later, "digest", "left_anti"))
+    earlier = long.join(left.select("token").distinct(), "token", "left_semi")
+    x, y = left.join(known, "digest").alias("x"), earlier.join(known, "digest").alias("y")
+    n, m = F.col("x.size"), F.col("y.size")
+    enough = F.least(n - F.col("x.place"), m - F.col("y.place")) * (100 + SIMILARITY) >= SIMILARITY * (n + m)
+    near = (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & enough | (F.greatest(n, m) == MAX_SIZE)
+    near &= (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first"))
+    found = x.join(y, near & similar(F.col("x.tokens"), F.col("y.tokens")), "left_semi")
+    return cut(found.select("digest").distinct())
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -305,32 +321,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     token = F.shiftright("key", 2 * SIZE_BITS)
     sorted_rows = rare.repartition(token).sortWithinPartitions("key", "digest")
     runs = cut(sorted_rows.mapInArrow(_pair_runs, "token long, a long, b long, size int, place int"))
-    tried = runs.where("token IS NULL").select("a", "b").distinct()
-    found = cut(matches(docs, classes, cut(tried)))
-    long = runs.where("token IS NOT NULL")
-    if not long.isEmpty():
-        found = found.union(cut(matches(docs, classes, cut(open_pairs(long, classes, found)))))
-    later = found.select(F.col("later").alias("digest")).distinct().withColumn("removed", F.lit(True))
+    later = later_lines(docs, classes, runs).withColumn("removed", F.lit(True))
     judged = classes.where("n > 1").join(later, "digest", "full")
     marks = lines.join(judged.select("digest", "first", "removed"), "digest")
     gone = F.coalesce("removed", F.lit(False)) | (F.struct("doc_id", "line") != F.col("first"))
     return marks.where(gone).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
-def open_pairs(long: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """What a long run leaves open: its lines that are not removed yet, with all earlier ones that the filters pass."""
-    later = found.select(F.col("later").alias("a")).distinct()
-    placed = long.join(classes.select(F.col("digest").alias("a"), "first"), "a")
-    left = placed.where("a != b").join(later, "a", "left_anti").alias("x")
-    earlier = placed.where("a != b").alias("y")
-    n, m = F.col("x.size"), F.col("y.size")
-    enough = F.least(n - F.col("x.place"), m - F.col("y.place")) * (100 + SIMILARITY) >= SIMILARITY * (n + m)
-    near = (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & enough | (F.greatest(n, m) == MAX_SIZE)
-    near &= F.col("y.first") < F.col("x.first")
-    joined = left.join(earlier, (F.col("x.token") == F.col("y.token")) & near)
-    return joined.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
-
-
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """The documents with all their columns, the given lines cut out of the text; n_chars follows where it is a column."""
     gone = cut(removed.select(F.col("doc_id").alias("_line_doc"), F.col("lines").alias("_lines")))
