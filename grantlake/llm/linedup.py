@@ -25,6 +25,12 @@ SIZE_BITS = 10
 MAX_SIZE = (1 << SIZE_BITS) - 1
 # Up to so many lines with one token are paired at once; more are paired with the first, then settled exactly.
 SMALL_RUN = 32
+# Places of the parity bits of a token set.
+BITS = 256
+BIT_NAMES = [f"bits{k}" for k in range(BITS // 64)]
+FIRST = pa.struct([("doc_id", pa.int64()), ("line", pa.int32())])
+# Odd, scatters the places of words in a shingle.
+FACTOR = np.uint64(0xD1B54A32D192ED03)
 
 
 class WordIds(dict):
@@ -67,13 +73,14 @@ def line_shingles(texts: list[bytes | None], words: WordIds) -> tuple[np.ndarray
     number = np.arange(len(ends)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
     hashes = words.hashes[ids]
     place = np.arange(len(ids)) - np.repeat(ends - sizes, sizes + 1)
-    placed = mixed(hashes + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    placed = mixed(hashes + place.astype(np.uint64) * FACTOR)
     digests = np.add.reduceat(placed, ends - sizes) if len(ends) else placed
     enough = sizes >= MIN_WORDS
     n = max(len(ids) - SHINGLE_WORDS + 1, 0)
-    found = hashes[:n]
+    found = hashes[:n].copy()
     for i in range(1, SHINGLE_WORDS):
-        found = mixed(found) + hashes[i : n + i]
+        found *= FACTOR
+        found += hashes[i : n + i]
     # A shingle lies within a line, before its end.
     inside = (line[:n] == line[SHINGLE_WORDS - 1 :][:n]) & (ids[SHINGLE_WORDS - 1 :][:n] != 0)
     owner = (np.cumsum(enough) - 1)[line[:n][inside]]
@@ -130,7 +137,7 @@ def prefixes(texts: list[bytes | None], words: WordIds, rarity: np.ndarray) -> t
     for first, (low, high) in zip(range(0, len(digests), 1 << LINE_BITS), zip(cuts[:-1], cuts[1:])):
         line = (owner[low:high] - first).astype(np.uint64)
         key = (line << np.uint64(RARITY_BITS) | kinds[low:high]) << np.uint64(TOKEN_BITS)
-        key = np.unique(key | (mixed(tokens[low:high]) >> np.uint64(64 - TOKEN_BITS)))
+        key = np.unique(key | (tokens[low:high] & np.uint64((1 << TOKEN_BITS) - 1)))
         line = (key >> np.uint64(RARITY_BITS + TOKEN_BITS)).astype(np.int64)
         size = np.bincount(line)
         place = np.arange(len(key)) - np.concatenate([[0], np.cumsum(size)])[line]
@@ -233,28 +240,52 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield found
 
 
+def _bits(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of `n` lines, the parity of its tokens in each of BITS places, packed into BITS / 64 integers."""
+    flat = np.bincount(owner * BITS + (tokens % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1
+    return np.packbits(flat.astype(np.uint8)).view(np.int64).reshape(n, BITS // 64)
+
+
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The full token sets of the asked lines of each text."""
+    """The full token sets of the asked lines of each text, in parts of bounded size."""
     words = WordIds()
     for part in _parts(batches, 128):
-        asked = part.column("digests").to_pylist()
-        _, _, digests, tokens, owner = line_shingles(byte_values(part.column("text")), words)
-        bounds = np.searchsorted(owner, np.arange(len(digests) + 1))
-        wanted = np.flatnonzero(np.isin(digests, np.array([d for own in asked for d in own], dtype=np.int64)))
-        found = {int(digests[k]): np.unique(tokens[bounds[k] : bounds[k + 1]]).view(np.int64) for k in wanted}
-        ends = np.cumsum([0, *map(len, found.values())])
-        sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *found.values()])))
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), sets], ["digest", "tokens"])
+        texts, places = [], []
+        for text, doc_id, lines in zip(byte_values(part.column("text")), part.column("doc_id").to_pylist(), part.column("lines").to_pylist()):
+            found = (text or b"").split(b"\n")
+            lines = [(doc_id, x["line"], x["digest"]) for x in lines if x["line"] < len(found)]
+            texts += [found[k] for _, k, _ in lines]
+            places += lines
+        at, _, digests, tokens, owner = line_shingles(texts, words)
+        n = len(digests)
+        # One of each token of a line, by line.
+        order = np.lexsort((tokens, owner))
+        tokens, owner = tokens[order], owner[order]
+        new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])])[: len(tokens)]
+        tokens, owner = tokens[new], owner[new]
+        ends = np.searchsorted(owner, np.arange(n + 1))
+        first = pa.array([{"doc_id": places[k][0], "line": places[k][1]} for k in at], FIRST)
+        columns = [pa.array(digests), first, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.view(np.int64)))]
+        columns += map(pa.array, _bits(tokens, owner, n).T)
+        # Rows that share a doc_id each have their own lines: only the asked ones count.
+        right = pa.array(digests == np.array([places[k][2] for k in at], dtype=np.int64))
+        yield pa.RecordBatch.from_arrays(columns, ["digest", "first", "tokens", *BIT_NAMES]).filter(right)
 
 
 def line_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
-    """`digest, tokens, first`: the full token sets of the asked lines, each read from the document it is first in."""
+    """`digest, first, tokens` and parity bits of the asked lines, each read where it is first, without a shuffle of sets."""
     places = classes.join(asked, "digest").groupBy(F.col("first.doc_id").alias("doc_id"))
-    wanted = cut(places.agg(F.collect_list("digest").alias("digests")))
-    n_wanted = wanted.agg(F.count("*") + F.coalesce(F.sum(F.size("digests")), F.lit(0))).first()[0]
+    wanted = cut(places.agg(F.collect_list(F.struct("first.line", "digest")).alias("lines")))
+    n_wanted = wanted.agg(F.count("*") + F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(broadcast_if_small(wanted, n_wanted), "doc_id")
-    sets = bound_batches(own).mapInArrow(_line_sets, "digest long, tokens array<long>")
-    return sets.groupBy("digest").agg(F.min("tokens").alias("tokens")).join(classes.select("digest", "first"), "digest")
+    bits = "".join(f", {name} long" for name in BIT_NAMES)
+    return bound_batches(own).mapInArrow(_line_sets, f"digest long, first struct<doc_id: long, line: int>, tokens array<long>{bits}")
+
+
+def maybe_similar(n: Column, m: Column, a: str, b: str) -> Column:
+    """Whether the parity bits of two sets of `n` and `m` tokens allow the similarity; they never differ in more places than the sets."""
+    apart = sum((F.bit_count(F.col(a.format(k)).bitwiseXOR(F.col(b.format(k)))) for k in BIT_NAMES), F.lit(0))
+    return apart * (100 + SIMILARITY) <= (100 - SIMILARITY) * (n + m)
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -262,13 +293,23 @@ def similar(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) * (100 + SIMILARITY) >= SIMILARITY * (F.size(a) + F.size(b))
 
 
+def among(known: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows of `known` with one of the distinct `digests`."""
+    digests = cut(digests)
+    return known.join(broadcast_if_small(digests, digests.count()), "digest", "left_semi")
+
+
 def later_lines(docs: DataFrame, classes: DataFrame, runs: DataFrame) -> DataFrame:
     """`digest` of every line that is similar to an earlier one: from the pairs, then from what long runs leave open."""
     pairs = cut(runs.where("token IS NULL").select("a", "b").distinct())
     long = runs.where("token IS NOT NULL AND a != b").select("token", F.col("a").alias("digest"), "size", "place")
     asked = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).union(long.select("digest")).distinct()
     known = cut(line_sets(docs, classes, asked))
-    a, b = (known.select(F.col("digest").alias(n), F.col("tokens").alias(f"{n}_tokens"), F.col("first").alias(f"{n}_first")) for n in "ab")
+    narrow = [known.select(F.col("digest").alias(n), F.size("tokens").alias(f"{n}_size"), *[F.col(k).alias(f"{n}_{k}") for k in BIT_NAMES]) for n in "ab"]
+    near = maybe_similar(F.col("a_size"), F.col("b_size"), "a_{}", "b_{}")
+    pairs = cut(pairs.join(narrow[0], "a").join(narrow[1], "b").where(near).select("a", "b"))
+    sets = among(known, pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct())
+    a, b = (sets.select(F.col("digest").alias(n), F.col("tokens").alias(f"{n}_tokens"), F.col("first").alias(f"{n}_first")) for n in "ab")
     good = pairs.join(a, "a").join(b, "b").where(similar(F.col("a_tokens"), F.col("b_tokens")) & (F.col("a_first") != F.col("b_first")))
     later = cut(good.select(F.when(F.col("a_first") > F.col("b_first"), F.col("a")).otherwise(F.col("b")).alias("digest")).distinct())
     if long.isEmpty():
@@ -282,12 +323,14 @@ def open_lines(long: DataFrame, known: DataFrame, later: DataFrame) -> DataFrame
     A line is asked for once: the semi join ends at the first similar line, and no pairs come out of it.
     """
     left = cut(long.join(later, "digest", "left_anti"))
-    earlier = long.join(left.select("token").distinct(), "token", "left_semi")
-    x, y = left.join(known, "digest").alias("x"), earlier.join(known, "digest").alias("y")
+    earlier = cut(long.join(left.select("token").distinct(), "token", "left_semi"))
+    sets = among(known, earlier.select("digest").distinct())
+    x, y = left.join(sets, "digest").alias("x"), earlier.join(sets, "digest").alias("y")
     n, m = F.col("x.size"), F.col("y.size")
     enough = F.least(n - F.col("x.place"), m - F.col("y.place")) * (100 + SIMILARITY) >= SIMILARITY * (n + m)
     near = (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & enough | (F.greatest(n, m) == MAX_SIZE)
     near &= (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first"))
+    near &= maybe_similar(F.size("x.tokens"), F.size("y.tokens"), "x.{}", "y.{}")
     found = x.join(y, near & similar(F.col("x.tokens"), F.col("y.tokens")), "left_semi")
     return cut(found.select("digest").distinct())
 
@@ -307,9 +350,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     counts[counted["digest"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
     rarity = rarity_classes(counts)
     lines = listed.where("line >= 0")
-    # The first place of a digest: the smallest document, then the smallest line in it, as two plain minimums.
-    first_doc = lines.groupBy("digest", "doc_id").agg(F.min("line").alias("line"), F.count("*").alias("n"))
-    classes = cut(first_doc.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.sum("n").alias("n")))
+    classes = cut(lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds()

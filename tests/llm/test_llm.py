@@ -232,6 +232,12 @@ def test_line_dedup_of_long_runs(spark):
     assert {r.doc_id: r.lines for r in found} == repeated_lines(rows)
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    rows = [(0, f"x\n{words(0, 40)}\n{words(2, 40)}\n{words(200, 40)}"), (1, words(202, 40)), (1, words(0, 40))]
+    found = linedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.lines for r in found} == {0: [2], 1: [0]}
+
+
 def test_packing(spark, docs, empty):
     rows = packing.pack(packing.token_pieces(docs, with_ids=True)).collect()
     by_sequence = collections.defaultdict(list)
