@@ -126,6 +126,12 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def sorted_set(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; a sort is several times faster here than the hash table of numpy's own."""
+    values = np.sort(values)
+    return values[np.concatenate([np.ones(min(len(values), 1), bool), values[1:] != values[:-1]])]
+
+
 def document_key() -> dict[str, Column]:
     """Two plain columns that tell documents apart by doc_id (null is a value) and text (null is empty)."""
     no_id = F.col("doc_id").isNull()

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import broadcast_if_small, byte_values, cut, mixed
+from grantlake.llm.common import broadcast_if_small, byte_values, cut, mixed, sorted_set
 from grantlake.llm.neardup import SHINGLE_WORDS, SIMILARITY
 from grantlake.session import bound_batches
 
@@ -18,7 +18,8 @@ from grantlake.session import bound_batches
 MIN_WORDS = SHINGLE_WORDS
 # Token counts are kept in a table of fixed size, which travels to every task.
 COUNT_BITS = 16
-LINE_END = b"\0"
+# Longer words (in bytes) are hashed one by one.
+LONG_WORD = 256
 # A sorting key holds line, rarity and token.
 LINE_BITS, RARITY_BITS, TOKEN_BITS = 14, 6, 44
 SIZE_BITS = 10
@@ -33,58 +34,55 @@ FIRST = pa.struct([("doc_id", pa.int64()), ("line", pa.int32())])
 FACTOR = np.uint64(0xD1B54A32D192ED03)
 
 
-class WordIds(dict):
-    """Small numbers of words, and their hashes by number; started anew when there are too many. The line end is 0."""
+def word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at `starts`, `sizes` bytes long; eight bytes at a time, so one step for most words.
 
-    LIMIT = 1_000_000
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes = np.zeros(1 << 16, dtype=np.uint64)
-        self[LINE_END] = 0
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        if number == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-        self.hashes[number] = xxhash.xxh64_intdigest(word)
-        return number
-
-    def of(self, texts: list[bytes]) -> np.ndarray:
-        """The words of all texts in turn, with a line end after every line."""
-        if len(self) > self.LIMIT:
-            self.clear()
-            self.__init__()
-        words: list[bytes] = []
-        for text in texts:
-            # A zero byte stands for the line end, so those in the text give way.
-            words += (text.replace(LINE_END, b"\x01").replace(b"\n", b" \0 ") + b" \0").split()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def line_shingles(texts: list[bytes | None], words: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    Words of the same size up to eight bytes never share a hash. Words over LONG_WORD bytes are hashed one by one.
+    """
+    eights = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
+    found = sizes.astype(np.uint64) * FACTOR
+    going = np.flatnonzero(sizes <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        going = going[sizes[going] > at]
+        if not len(going):
+            break
+        unused = np.maximum(8 - (sizes[going] - at), 0).astype(np.uint64) * np.uint64(8)
+        part = eights[starts[going] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> unused)
+        found[going] = mixed(found[going] ^ part)
+    for k in np.flatnonzero(sizes > LONG_WORD):
+        found[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]])
+    return found
+
+
+def line_shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines with tokens: text index, line number, digest of the words; and all their tokens with line indexes."""
-    ids = words.of([(t or b"").lower() for t in texts])
-    ends = np.flatnonzero(ids == 0)
-    line = np.cumsum(ids == 0) - (ids == 0)
-    sizes = np.diff(ends, prepend=-1) - 1
-    n_lines = np.array([(t or b"").count(b"\n") + 1 for t in texts])
+    # A line end after every text, and bytes to read on over the last word.
+    data = b"\n".join([*[(t or b"").lower() for t in texts], bytes(8)])
+    chars = np.frombuffer(data, np.uint8)[:-8]
+    solid = np.concatenate([[False], ~((chars == 32) | (chars - np.uint8(9) < 5))])
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    ends = np.flatnonzero(chars == 10)
+    line = np.searchsorted(ends, starts)
+    n_words = np.bincount(line, minlength=len(ends))
+    n_lines = np.array([(t or b"").count(b"\n") + 1 for t in texts], dtype=np.int64)
     text = np.repeat(np.arange(len(texts)), n_lines)
     number = np.arange(len(ends)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
-    hashes = words.hashes[ids]
-    place = np.arange(len(ids)) - np.repeat(ends - sizes, sizes + 1)
-    placed = mixed(hashes + place.astype(np.uint64) * FACTOR)
-    digests = np.add.reduceat(placed, ends - sizes) if len(ends) else placed
-    enough = sizes >= MIN_WORDS
-    n = max(len(ids) - SHINGLE_WORDS + 1, 0)
+    hashes = word_hashes(data, starts, sizes)
+    first = np.cumsum(n_words) - n_words
+    place = np.arange(len(line)) - first[line]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes + place.astype(np.uint64) * FACTOR))])
+    digests = mixed(sums[first + n_words] - sums[first])
+    enough = n_words >= MIN_WORDS
+    n = max(len(line) - SHINGLE_WORDS + 1, 0)
     found = hashes[:n].copy()
     for i in range(1, SHINGLE_WORDS):
         found *= FACTOR
         found += hashes[i : n + i]
-    # A shingle lies within a line, before its end.
-    inside = (line[:n] == line[SHINGLE_WORDS - 1 :][:n]) & (ids[SHINGLE_WORDS - 1 :][:n] != 0)
+    # A shingle lies within a line.
+    inside = line[:n] == line[SHINGLE_WORDS - 1 :]
     owner = (np.cumsum(enough) - 1)[line[:n][inside]]
-    return text[enough], number[enough], mixed(digests[enough]).view(np.int64), mixed(found[inside]), owner
+    return text[enough], number[enough], digests[enough].view(np.int64), mixed(found[inside]), owner
 
 
 def _parts(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.RecordBatch]:
@@ -94,7 +92,7 @@ def _parts(batches: Iterator[pa.RecordBatch], n: int = 512) -> Iterator[pa.Recor
 
 def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each line's digest and place; at the end the task's token counts, with `line` below 0 as the mark."""
-    words, counts = WordIds(), np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    counts = np.zeros(1 << COUNT_BITS, dtype=np.int64)
     names = ["digest", "doc_id", "line"]
 
     def rows(digest, doc_id, line) -> pa.RecordBatch:
@@ -102,7 +100,7 @@ def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(arrays, names)
 
     for part in _parts(batches):
-        text, number, digests, tokens, _ = line_shingles(byte_values(part.column("text")), words)
+        text, number, digests, tokens, _ = line_shingles(byte_values(part.column("text")))
         counts += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
         yield rows(digests, part.column("doc_id").to_numpy()[text], number)
     used = np.flatnonzero(counts)
@@ -120,13 +118,13 @@ def prefix_size(size: np.ndarray) -> np.ndarray:
     return size - -(-SIMILARITY * size // 100) + 1
 
 
-def prefixes(texts: list[bytes | None], words: WordIds, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(texts: list[bytes | None], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """`key, digest` of the rarest tokens of every line, as many as its prefix takes.
 
     The key holds the token, the number of tokens of the line and the token's place, so that it sorts by token; a number
     that does not fit is the largest that does, and is not filtered by.
     """
-    _, _, digests, tokens, owner = line_shingles(texts, words)
+    _, _, digests, tokens, owner = line_shingles(texts)
     # Equal lines have equal rows: one of them will do.
     once = np.zeros(len(digests), dtype=bool)
     once[np.unique(digests, return_index=True)[1]] = True
@@ -137,7 +135,7 @@ def prefixes(texts: list[bytes | None], words: WordIds, rarity: np.ndarray) -> t
     for first, (low, high) in zip(range(0, len(digests), 1 << LINE_BITS), zip(cuts[:-1], cuts[1:])):
         line = (owner[low:high] - first).astype(np.uint64)
         key = (line << np.uint64(RARITY_BITS) | kinds[low:high]) << np.uint64(TOKEN_BITS)
-        key = np.unique(key | (tokens[low:high] & np.uint64((1 << TOKEN_BITS) - 1)))
+        key = sorted_set(key | (tokens[low:high] & np.uint64((1 << TOKEN_BITS) - 1)))
         line = (key >> np.uint64(RARITY_BITS + TOKEN_BITS)).astype(np.int64)
         size = np.bincount(line)
         place = np.arange(len(key)) - np.concatenate([[0], np.cumsum(size)])[line]
@@ -248,7 +246,6 @@ def _bits(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The full token sets of the asked lines of each text, in parts of bounded size."""
-    words = WordIds()
     for part in _parts(batches, 128):
         texts, places = [], []
         for text, doc_id, lines in zip(byte_values(part.column("text")), part.column("doc_id").to_pylist(), part.column("lines").to_pylist()):
@@ -256,7 +253,7 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = [(doc_id, x["line"], x["digest"]) for x in lines if x["line"] < len(found)]
             texts += [found[k] for _, k, _ in lines]
             places += lines
-        at, _, digests, tokens, owner = line_shingles(texts, words)
+        at, _, digests, tokens, owner = line_shingles(texts)
         n = len(digests)
         # One of each token of a line, by line.
         order = np.lexsort((tokens, owner))
@@ -284,7 +281,7 @@ def line_sets(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFram
 
 def maybe_similar(n: Column, m: Column, a: str, b: str) -> Column:
     """Whether the parity bits of two sets of `n` and `m` tokens allow the similarity; they never differ in more places than the sets."""
-    apart = sum((F.bit_count(F.col(a.format(k)).bitwiseXOR(F.col(b.format(k)))) for k in BIT_NAMES), F.lit(0))
+    apart = sum((F.bit_count(F.col(a + k).bitwiseXOR(F.col(b + k))) for k in BIT_NAMES), F.lit(0))
     return apart * (100 + SIMILARITY) <= (100 - SIMILARITY) * (n + m)
 
 
@@ -305,9 +302,9 @@ def later_lines(docs: DataFrame, classes: DataFrame, runs: DataFrame) -> DataFra
     long = runs.where("token IS NOT NULL AND a != b").select("token", F.col("a").alias("digest"), "size", "place")
     asked = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).union(long.select("digest")).distinct()
     known = cut(line_sets(docs, classes, asked))
-    narrow = [known.select(F.col("digest").alias(n), F.size("tokens").alias(f"{n}_size"), *[F.col(k).alias(f"{n}_{k}") for k in BIT_NAMES]) for n in "ab"]
-    near = maybe_similar(F.col("a_size"), F.col("b_size"), "a_{}", "b_{}")
-    pairs = cut(pairs.join(narrow[0], "a").join(narrow[1], "b").where(near).select("a", "b"))
+    a, b = (known.select(F.col("digest").alias(n), F.size("tokens").alias(f"{n}_size"), *[F.col(k).alias(f"{n}_{k}") for k in BIT_NAMES]) for n in "ab")
+    near = maybe_similar(F.col("a_size"), F.col("b_size"), "a_", "b_")
+    pairs = cut(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"))
     sets = among(known, pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct())
     a, b = (sets.select(F.col("digest").alias(n), F.col("tokens").alias(f"{n}_tokens"), F.col("first").alias(f"{n}_first")) for n in "ab")
     good = pairs.join(a, "a").join(b, "b").where(similar(F.col("a_tokens"), F.col("b_tokens")) & (F.col("a_first") != F.col("b_first")))
@@ -322,16 +319,22 @@ def open_lines(long: DataFrame, known: DataFrame, later: DataFrame) -> DataFrame
 
     A line is asked for once: the semi join ends at the first similar line, and no pairs come out of it.
     """
-    left = cut(long.join(later, "digest", "left_anti"))
-    earlier = cut(long.join(left.select("token").distinct(), "token", "left_semi"))
-    sets = among(known, earlier.select("digest").distinct())
-    x, y = left.join(sets, "digest").alias("x"), earlier.join(sets, "digest").alias("y")
-    n, m = F.col("x.size"), F.col("y.size")
-    enough = F.least(n - F.col("x.place"), m - F.col("y.place")) * (100 + SIMILARITY) >= SIMILARITY * (n + m)
+    bits = known.select("digest", "first", F.size("tokens").alias("n"), *BIT_NAMES)
+    left = cut(long.join(later, "digest", "left_anti").join(bits, "digest"))
+    tokens = left.select("token").distinct()
+    earlier = long.join(tokens, "token", "left_semi").join(bits, "digest")
+    earlier = cut(earlier.select(*[F.col(c).alias(f"y_{c}") for c in earlier.columns]))
+    n, m = F.col("size"), F.col("y_size")
+    before = (F.col("token") == F.col("y_token")) & (F.col("y_first") < F.col("first"))
+    enough = F.least(n - F.col("place"), m - F.col("y_place")) * (100 + SIMILARITY) >= SIMILARITY * (n + m)
     near = (100 * F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & enough | (F.greatest(n, m) == MAX_SIZE)
-    near &= (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first"))
-    near &= maybe_similar(F.size("x.tokens"), F.size("y.tokens"), "x.{}", "y.{}")
-    found = x.join(y, near & similar(F.col("x.tokens"), F.col("y.tokens")), "left_semi")
+    near &= before & maybe_similar(F.col("n"), F.col("y_n"), "", "y_")
+    # Full sets go only to the rows whose parity bits allow a link, of either side.
+    left = cut(left.join(earlier, near, "left_semi"))
+    earlier = cut(earlier.join(left, near, "left_semi"))
+    sets = among(known, left.select("digest").union(earlier.select("y_digest")).distinct()).select("digest", "tokens")
+    x, y = left.join(sets, "digest"), earlier.join(sets.select(F.col("digest").alias("y_digest"), F.col("tokens").alias("y_tokens")), "y_digest")
+    found = x.join(y, near & similar(F.col("tokens"), F.col("y_tokens")), "left_semi")
     return cut(found.select("digest").distinct())
 
 
@@ -353,9 +356,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     classes = cut(lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds()
         for part in _parts(batches):
-            found = prefixes(byte_values(part.column("text")), words, rarity)
+            found = prefixes(byte_values(part.column("text")), rarity)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["key", "digest"])
 
     rare = own.mapInArrow(emit, "key long, digest long")

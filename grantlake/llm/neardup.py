@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import byte_values, connected_components, cut, mixed
+from grantlake.llm.common import byte_values, connected_components, cut, mixed, sorted_set
 from grantlake.session import bound_batches
 
 SHINGLE_WORDS = 5
@@ -48,7 +48,7 @@ def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     found = values[: n - SHINGLE_WORDS + 1]
     for i in range(1, SHINGLE_WORDS):
         found = mixed(found) + values[i : n - SHINGLE_WORDS + 1 + i]
-    return np.unique(mixed(found))
+    return sorted_set(mixed(found))
 
 
 def set_digest(shingles: np.ndarray) -> bytes | None:
