@@ -283,6 +283,14 @@ ORACLES: dict[str, str] = {
           CASE WHEN classification <> 'eligibility' THEN coalesce(compliance_answer, {text(NO_GUIDANCE)}) END) AS answer,
         coalesce(n_citations, 0) AS n_citations, {AGENTS.format("classification")} AS agents_used, false AS is_mock
       FROM classified""",
+    "answers_without_hits": """
+      SELECT concat_ws('-', conv_id, turn) AS question_id, 'mixed' AS classification,
+        'I could not find any grants matching your question. Try rephrasing with your industry, location, or business size.'
+        || chr(10) || chr(10) ||
+        'I could not find compliance guidance matching your question. '
+        || 'Try mentioning the award, industry, or obligation you''re asking about.' AS answer,
+        0 AS n_citations, false AS is_mock
+      FROM conversations WHERE role = 'user'""",
     "citations": f"""
       WITH {HITS} SELECT question_id, rank, record_id, title, url, source, nullif(substr(description, 1, 280), '') AS snippet
       FROM hits""",

@@ -137,6 +137,17 @@ def answer_questions_table(spark, sf_dir):
     )
 
 
+@query
+def answers_without_hits(spark, sf_dir):
+    """Questions without a word or, in every second turn of a user, with one that no record has."""
+    asked = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    asked = asked.withColumn("question_id", F.concat_ws("-", "conv_id", "turn"))
+    unknown = F.concat(F.lit("Qz"), F.md5(F.col("question_id")), F.lit("?"))
+    question = F.when(F.col("turn") % 4 == 0, unknown).otherwise(F.regexp_replace("text", "[A-Za-z0-9]", ""))
+    answers = answer_questions(asked.select("question_id", question.alias("question")), inputs.document_records(spark, sf_dir))
+    return answers.select("question_id", "classification", "answer", F.size("citations").alias("n_citations"), "is_mock")
+
+
 @query
 def citations(spark, sf_dir):
     cited = _answers(spark, sf_dir).select("question_id", F.posexplode("citations").alias("pos", "citation"))
