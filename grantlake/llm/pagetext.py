@@ -149,7 +149,7 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
 def _listed(pages: DataFrame, with_text: bool) -> DataFrame:
     """Each page's key and line hashes with weights (words), or its packed lines."""
     schema = "page_id long, url string, key_id long, key_text long, "
-    schema += "lines binary, main array<boolean>" if with_text else "hashes array<long>, words array<int>"
+    schema += "lines binary, main array<boolean>" if with_text else "hashes array<long>, words array<int>, main array<boolean>"
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,10 +158,11 @@ def _listed(pages: DataFrame, with_text: bool) -> DataFrame:
                 own = [part.column(c) for c in ("page_id", "url", "key_id", "key_text")]
                 if with_text:
                     packed = [zlib.compress("\n".join(text for text, _ in lines).encode(), 1) for lines in found]
-                    own += [pa.array(packed, pa.binary()), pa.array([[m for _, m in lines] for lines in found], pa.list_(pa.bool_()))]
+                    own.append(pa.array(packed, pa.binary()))
                 else:
                     hashes = [[xxhash.xxh64_intdigest(text) - (1 << 63) for text, _ in lines] for lines in found]
                     own += [pa.array(hashes, pa.list_(pa.int64())), pa.array([[text.count(" ") + 1 for text, _ in lines] for lines in found], pa.list_(pa.int32()))]
+                own.append(pa.array([[m for _, m in lines] for lines in found], pa.list_(pa.bool_())))
                 yield pa.RecordBatch.from_arrays(own, [f.split()[0] for f in schema.split(", ")])
 
     key_id = F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("key_id")
@@ -174,14 +175,15 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     """`key_id, key_text, shared`: the indexes of each page's lines that its nearest page has in the same order.
 
     Pages are ordered by host, path and page_id over all partitions. Of the two beside it in its host, a page is paired
-    with the one whose path agrees longer with its own (the earlier one if equal). Pairs of copies share nothing.
+    with the one whose path agrees longer with its own (the earlier one if equal). Of a page with copies on both sides
+    only lines outside its article are shared; without another page in the host `shared` is null.
     """
     listed = _listed(pages, False)
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    once = listed.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("page_id", "url", "hashes", "words")])
-    named = once.select(*KEY, "page_id", host.alias("host"), path.alias("path"), "hashes", "words")
+    once = listed.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("page_id", "url", "hashes", "words", "main")])
+    named = once.select(*KEY, "page_id", host.alias("host"), path.alias("path"), "hashes", "words", "main")
     order = [F.col("host"), F.col("path"), F.col("page_id").asc_nulls_last(), F.col("key_text")]
     placed = cut(running_totals(named, order, {"place": F.lit(1)}))
     beside = [
@@ -208,23 +210,30 @@ def _agreement(a: str, b: str) -> int:
     return n
 
 
-def _shared(row: dict) -> list[int]:
+def _shared(row: dict) -> list[int] | None:
     beside = [other for other in (row["before"], row["after"]) if other and other["host"] == row["host"]]
     if not beside:
-        return []
-    nearest = max(beside, key=lambda other: _agreement(other["path"], row["path"]))
-    common = common_lines(row["hashes"], nearest["hashes"])
-    words = row["words"]
-    return common if sum(words[i] for i in common) <= COPY_SHARE * sum(words) else []
+        return None
+    words, main = row["words"], row["main"]
+    # Copies are told by the words of the article, where there is one.
+    tested = [n if m or not any(main) else 0 for n, m in zip(words, main)]
+    outside: list[int] = []
+    for other in sorted(beside, key=lambda other: -_agreement(other["path"], row["path"])):
+        common = common_lines(row["hashes"], other["hashes"])
+        if sum(tested[i] for i in common) <= COPY_SHARE * sum(tested):
+            return common
+        outside = outside or [i for i in common if any(main) and not main[i]]
+    return outside
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """`page_id, url, text` for every row of `pages`.
 
     Lines are blocks in page order, with white space made single spaces; those in menus, forms, adverts and the like are
-    left out. What the nearest page shares is deleted. A check by structure follows: where there is an article or main
-    element, its lines are the text, also those a copied page shares, and lines outside are not. Null html is empty.
-    Repeated rows are one page when pairing, and each is returned.
+    left out. What the nearest page shares is deleted, inside an article or main element too, and nothing else is.
+    Structure only settles what differencing cannot: where the nearest page is a copy, shared lines go if they are
+    outside the article; on a page without another one in its host, the article's lines are the text. Null html is
+    empty. Repeated rows are one page when pairing, and each is returned.
     """
     joined = _listed(pages, True).join(shared_lines(pages), KEY)
 
@@ -233,9 +242,12 @@ def main_text(pages: DataFrame) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("lines", "main", "shared")]
             texts = []
             for packed, main, shared in zip(*columns):
-                lines, gone = zlib.decompress(packed).decode().split("\n"), set(shared)
-                whole = not any(main)
-                texts.append("\n".join(line for i, (line, m) in enumerate(zip(lines, main)) if m or whole and i not in gone))
+                lines = zlib.decompress(packed).decode().split("\n")
+                if shared is None:
+                    # No page to compare with: structure is all there is.
+                    shared = [i for i, m in enumerate(main) if not m] if any(main) else []
+                gone = set(shared)
+                texts.append("\n".join(line for i, line in enumerate(lines) if i not in gone))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return bound_batches(joined).mapInArrow(assemble, "page_id long, url string, text string")

@@ -380,6 +380,23 @@ def test_page_text(spark):
     assert pagetext.main_text(pages.limit(0)).count() == 0
 
 
+def page_texts(spark, rows):
+    found = pagetext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text.split("\n") for r in found}
+
+
+def test_page_text_is_differenced_inside_articles_too(spark):
+    page = "<div>Site of all</div><div>Dated {0}</div><article><p>Notice to every reader</p><p>{1}</p><p>Read also this</p></article>"
+    own = ["one story of five words", "two tales of six other words", "third thing"]
+    rows = [(i, f"http://a.org/{i}", page.format(i, text)) for i, text in enumerate(own)]
+    copied = "<div>Menu line</div><div>Dated {0}</div><article><p>copied story of many more words</p></article>"
+    rows += [(i, f"http://b.org/{i}", copied.format(i)) for i in (10, 11)] + [(20, "http://c.org/", page.format(20, "alone"))]
+    found = page_texts(spark, rows)
+    assert {i: found[i] for i in range(3)} == {i: [f"Dated {i}", text] for i, text in enumerate(own)}
+    assert all(found[i] == [f"Dated {i}", "copied story of many more words"] for i in (10, 11))
+    assert found[20] == ["Notice to every reader", "alone", "Read also this"]
+
+
 def test_common_lines():
     random = np.random.default_rng(2)
     for _ in range(200):
