@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import cut, running_totals
+from grantlake.llm.common import broadcast_if_small, cut, running_totals
 from grantlake.session import bound_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,7 +35,7 @@ JUNK_WORDS = frozenset(
 MAIN_TAGS = frozenset(("article", "main"))
 # Start tags that end an open paragraph-like element of these.
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "tr": "tr"}
-# A pair that shares more of a page's words than this holds copies, which say nothing about boilerplate.
+# A pair that shares more of a page's own words than this holds copies, which say nothing about boilerplate.
 COPY_SHARE = 0.8
 KEY = ["key_id", "key_text"]
 
@@ -171,34 +171,53 @@ def _listed(pages: DataFrame, with_text: bool) -> DataFrame:
     return bound_batches(pages.select(page_id, "url", "html", key_id, key_text.alias("key_text"))).mapInArrow(listed, schema)
 
 
+def frequent_lines(classes: DataFrame) -> DataFrame:
+    """`host, frequent`: the line hashes that more than half of a host's different pages have, three of them at least."""
+    sizes = classes.groupBy("host").agg(F.count("*").alias("n_pages"))
+    each = classes.select("host", F.explode(F.array_distinct("hashes")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
+    often = each.where("n > 2").join(broadcast_if_small(sizes, sizes.count()), "host").where("2 * n > n_pages")
+    return often.groupBy("host").agg(F.collect_list("line").alias("frequent"))
+
+
 def shared_lines(pages: DataFrame) -> DataFrame:
     """`key_id, key_text, shared`: the indexes of each page's lines that its nearest page has in the same order.
 
-    Pages are ordered by host, path and page_id over all partitions. Of the two beside it in its host, a page is paired
-    with the one whose path agrees longer with its own (the earlier one if equal). Of a page with copies on both sides
-    only lines outside its article are shared; without another page in the host `shared` is null.
+    Pages are ordered by host, path and page_id over all partitions; neighbours of a host with equal lines are one run.
+    Of the two runs beside it in its host, a run is paired with the one whose path agrees longer with its own (the
+    earlier one if equal), or the other one if that holds a copy. Of a run with copies on both sides only lines outside
+    its article and lines frequent in its host are shared; without another run in the host `shared` is null.
     """
     listed = _listed(pages, False)
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    once = listed.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("page_id", "url", "hashes", "words", "main")])
-    named = once.select(*KEY, "page_id", host.alias("host"), path.alias("path"), "hashes", "words", "main")
+    arrays = ["hashes", "words", "main"]
+    once = listed.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("page_id", "url", *arrays)])
+    named = cut(once.select(*KEY, "page_id", host.alias("host"), path.alias("path"), F.xxhash64("hashes", "main").alias("lines"), *arrays))
+    classes = cut(named.groupBy("host", "lines").agg(*[F.first(c).alias(c) for c in arrays]))
     order = [F.col("host"), F.col("path"), F.col("page_id").asc_nulls_last(), F.col("key_text")]
-    placed = cut(running_totals(named, order, {"place": F.lit(1)}))
+    placed = cut(running_totals(named.drop(*arrays), order, {"place": F.lit(1)}))
+    earlier = placed.select((F.col("place") + 1).alias("place"), F.struct("host", "lines").alias("earlier"))
+    starts = placed.join(earlier, "place", "left").withColumn("starts", (~F.col("earlier").eqNullSafe(F.struct("host", "lines"))).cast("int"))
+    numbered = running_totals(starts.drop("earlier"), [F.col("place")], {"run": F.col("starts")})
+    placed = cut(numbered.withColumn("run", F.col("run") + F.col("starts")).drop("starts"))
+    ends = [F.min_by("path", "place").alias("first_path"), F.max_by("path", "place").alias("last_path")]
+    runs = cut(placed.groupBy("run").agg(F.first("host").alias("host"), F.first("lines").alias("lines"), *ends).join(classes, ["host", "lines"]))
+    frequent = cut(frequent_lines(classes))
+    n_frequent = frequent.agg(F.count("*") + F.coalesce(F.sum(F.size("frequent")), F.lit(0))).first()[0]
     beside = [
-        placed.select((F.col("place") + step).alias("place"), F.struct("host", "path", "hashes").alias(name))
-        for step, name in ((1, "before"), (-1, "after"))
+        runs.select((F.col("run") + step).alias("run"), F.struct("host", F.col(path).alias("path"), "hashes").alias(name))
+        for step, path, name in ((1, "last_path", "before"), (-1, "first_path", "after"))
     ]
-    rows = placed.join(beside[0], "place", "left").join(beside[1], "place", "left")
+    rows = runs.join(beside[0], "run", "left").join(beside[1], "run", "left").join(broadcast_if_small(frequent, n_frequent), "host", "left")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared = [_shared(row) for row in batch.to_pylist()]
-            own = [batch.column(c) for c in KEY]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(shared, pa.list_(pa.int32()))], [*KEY, "shared"])
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(shared, pa.list_(pa.int32()))], ["run", "shared"])
 
-    return bound_batches(rows).mapInArrow(compare, "key_id long, key_text long, shared array<int>")
+    found = bound_batches(rows.drop("lines")).mapInArrow(compare, "run long, shared array<int>")
+    return placed.select(*KEY, "run").join(found, "run").drop("run")
 
 
 def _agreement(a: str, b: str) -> int:
@@ -211,19 +230,26 @@ def _agreement(a: str, b: str) -> int:
 
 
 def _shared(row: dict) -> list[int] | None:
-    beside = [other for other in (row["before"], row["after"]) if other and other["host"] == row["host"]]
+    beside = [(row[name], path) for name, path in (("before", row["first_path"]), ("after", row["last_path"]))]
+    beside = [(other, path) for other, path in beside if other and other["host"] == row["host"]]
     if not beside:
         return None
-    words, main = row["words"], row["main"]
-    # Copies are told by the words of the article, where there is one.
-    tested = [n if m or not any(main) else 0 for n, m in zip(words, main)]
-    outside: list[int] = []
-    for other in sorted(beside, key=lambda other: -_agreement(other["path"], row["path"])):
-        common = common_lines(row["hashes"], other["hashes"])
-        if sum(tested[i] for i in common) <= COPY_SHARE * sum(tested):
+    hashes, words, main = row["hashes"], row["words"], row["main"]
+    frequent, article = set(row["frequent"] or ()), any(main)
+    usual = [h in frequent for h in hashes]
+    # Copies are told by the words of the article, where there is one, without those of the host's frequent lines.
+    body = [n if m or not article else 0 for n, m in zip(words, main)]
+    if article and sum(n for n, u in zip(body, usual) if u) > COPY_SHARE * sum(body):
+        # Hardly a word is the article's own: copies of one article fill the host, which are no template.
+        usual = [u and not m for u, m in zip(usual, main)]
+    own = [0 if u else n for n, u in zip(body, usual)]
+    certain: list[int] = []
+    for other, _ in sorted(beside, key=lambda x: -_agreement(x[0]["path"], x[1])):
+        common = common_lines(hashes, other["hashes"])
+        if sum(own[i] for i in common) <= COPY_SHARE * sum(own):
             return common
-        outside = outside or [i for i in common if any(main) and not main[i]]
-    return outside
+        certain = certain or [i for i in common if usual[i] or article and not main[i]]
+    return certain
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -231,8 +257,8 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Lines are blocks in page order, with white space made single spaces; those in menus, forms, adverts and the like are
     left out. What the nearest page shares is deleted, inside an article or main element too, and nothing else is.
-    Structure only settles what differencing cannot: where the nearest page is a copy, shared lines go if they are
-    outside the article; on a page without another one in its host, the article's lines are the text. Null html is
+    Structure only settles what differencing cannot: where the pages beside are copies, shared lines go if they are
+    outside the article or on most of the host's different pages; on a page without another one in its host, the article's lines are the text. Null html is
     empty. Repeated rows are one page when pairing, and each is returned.
     """
     joined = _listed(pages, True).join(shared_lines(pages), KEY)

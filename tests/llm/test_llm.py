@@ -397,6 +397,20 @@ def test_page_text_is_differenced_inside_articles_too(spark):
     assert found[20] == ["Notice to every reader", "alone", "Read also this"]
 
 
+def test_page_text_without_articles_in_large_templates_and_groups_of_copies(spark):
+    page = "<p>" + words(0, 60) + "</p><p>{0}</p><p>" + words(100, 60) + "</p>"
+    rows = [(i, f"http://a.org/{i}", page.format(f"short text {i}")) for i in range(4)]
+    # Equal pages, then near ones, each between other pages of the host.
+    rows += [(i, f"http://b.org/{i}", page.format("equal text of the group")) for i in range(10, 15)]
+    rows += [(i, f"http://b.org/{i}", page.format(f"{words(200, 40)}</p><p>{words(250, 40)}</p><p>edit {i}")) for i in range(20, 23)]
+    rows += [(i, f"http://b.org/{i}", page.format(f"other text {i}")) for i in range(30, 36)]
+    found = page_texts(spark, rows)
+    assert all(found[i] == [f"short text {i}"] for i in range(4))
+    assert all(found[i] == ["equal text of the group"] for i in range(10, 15))
+    assert all(found[i] == [words(200, 40), words(250, 40), f"edit {i}"] for i in range(20, 23))
+    assert all(found[i] == [f"other text {i}"] for i in range(30, 36))
+
+
 def test_common_lines():
     random = np.random.default_rng(2)
     for _ in range(200):
