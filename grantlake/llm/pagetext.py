@@ -21,7 +21,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr br td th".split()
 )
-# Elements that never hold main text, and words of class, id and role that say so.
+# Elements that never hold main text (a form: unless most of it), and words of class, id and role that say so.
 JUNK_TAGS = frozenset(
     "head script style noscript template svg math iframe object canvas audio video nav footer aside form button select "
     "textarea input dialog menu".split()
@@ -41,30 +41,34 @@ KEY = ["key_id", "key_text"]
 
 
 class Lines(HTMLParser):
-    """The blocks of a page in order as [text, is in the article or main element]; junk elements are left out."""
+    """The blocks of a page in order as (pieces, is in the article or main element); junk elements are left out.
+
+    A class, id or role with a junk word and a form only mark what is below them: a piece of text is (mark, text), and
+    `kept_lines` decides, once the whole page is read, which marks hold. Mark 0 is none.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # tag, in junk, in main
-        self.lines: list[tuple[str, bool]] = []
-        self.text: list[str] = []
+        self.open: list[tuple[str, bool, bool, int]] = []  # tag, in junk, in main, innermost mark
+        self.lines: list[tuple[list[tuple[int, str]], bool]] = []
+        self.text: list[tuple[int, str]] = []
+        self.above = [0]  # the mark around each mark
         self.in_main = False
 
     def flush(self) -> None:
-        line = " ".join("".join(self.text).split())
-        if line:
-            self.lines.append((line, self.in_main))
-        self.text = []
+        if self.text:
+            self.lines.append((self.text, self.in_main))
+            self.text = []
 
-    def state(self) -> tuple[bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False)
+    def state(self) -> tuple[bool, bool, int]:
+        return self.open[-1][1:] if self.open else (False, False, 0)
 
     def pop_to(self, at: int) -> None:
         del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("br", "td", "th"):
-            self.text.append(" ")
+            self.text.append((0, " "))
         if tag not in INLINE:
             self.flush()
         if tag == "body":
@@ -80,17 +84,21 @@ class Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        junk, main = self.state()
+        junk, main, mark = self.state()
         if tag in MAIN_TAGS and not junk:
             main = True
-        elif tag in JUNK_TAGS or tag == "header" and not main:
+        elif tag != "form" and tag in JUNK_TAGS or tag == "header" and not main:
             junk = True
-        elif tag not in ("html", "body") and attrs:
+        if not junk and tag not in ("html", "body") and (attrs or tag == "form"):
             values = dict(attrs)
             said = " ".join(values.get(name) or "" for name in ("class", "id", "role")).lower()
             words = "".join(c if c.isalnum() else " " for c in said).split()
-            junk = junk or not JUNK_WORDS.isdisjoint(words) or "hidden" in values
-        self.open.append((tag, junk, main))
+            junk = "hidden" in values and tag not in MAIN_TAGS
+            # An article below a mark may be a comment or the like, which its own words say.
+            if not junk and (tag == "form" or not JUNK_WORDS.isdisjoint(words)) and (tag not in MAIN_TAGS or mark):
+                self.above.append(mark)
+                mark = len(self.above) - 1
+        self.open.append((tag, junk, main, mark))
         self.in_main = main
 
     def handle_endtag(self, tag: str) -> None:
@@ -105,8 +113,29 @@ class Lines(HTMLParser):
         self.in_main = self.state()[1]
 
     def handle_data(self, data: str) -> None:
-        if not self.state()[0]:
-            self.text.append(data)
+        junk, _, mark = self.state()
+        if not junk:
+            self.text.append((mark, data))
+
+    def kept_lines(self) -> list[tuple[str, bool]]:
+        """The lines without text below marks that hold.
+
+        A mark does not hold if most of the page's article words are below it; on a page without any, most of all words.
+        """
+        dropped = [False] * len(self.above)
+        if len(self.above) > 1:
+            below = [[0] * len(self.above) for _ in range(2)]
+            for pieces, main in self.lines:
+                for mark, text in pieces:
+                    below[main][mark] += len(text.split())
+            counted = below[1] if any(below[1]) else below[0]
+            # A mark comes after the one around it.
+            for mark in range(len(self.above) - 1, 0, -1):
+                counted[self.above[mark]] += counted[mark]
+            for mark in range(1, len(self.above)):
+                dropped[mark] = dropped[self.above[mark]] or 2 * counted[mark] <= counted[0]
+        lines = ((" ".join("".join([text for mark, text in pieces if not dropped[mark]]).split()), main) for pieces, main in self.lines)
+        return [line for line in lines if line[0]]
 
 
 def page_lines(html: str | None) -> list[tuple[str, bool]]:
@@ -114,7 +143,7 @@ def page_lines(html: str | None) -> list[tuple[str, bool]]:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    return parser.lines
+    return parser.kept_lines()
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:

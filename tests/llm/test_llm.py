@@ -397,6 +397,18 @@ def test_page_text_is_differenced_inside_articles_too(spark):
     assert found[20] == ["Notice to every reader", "alone", "Read also this"]
 
 
+def test_junk_words_of_wrappers_do_not_take_the_page():
+    side = '<div class="widget">side words</div>'
+    for page in (
+        '<div class="content-sidebar-wrap"><main><p>own text of it</p>{}</main></div>',
+        '<div class="page has-sidebar"><article><p>own text of it</p></article>{}</div>',
+        '<form id="aspnetForm"><div id="search-results-page"><p>own text of it</p>{}</div></form>',
+        '<article><p>own text of it</p></article><div id="comments"><article class="comment">a reply</article>{}</div>',
+        '<article class="has-comments"><p>own text <span class="ad">buy</span>of it</p></article><form>mail</form>{}',
+    ):
+        assert [line for line, _ in pagetext.page_lines(page.format(side))] == ["own text of it"]
+
+
 def test_page_text_without_articles_in_large_templates_and_groups_of_copies(spark):
     page = "<p>" + words(0, 60) + "</p><p>{0}</p><p>" + words(100, 60) + "</p>"
     rows = [(i, f"http://a.org/{i}", page.format(f"short text {i}")) for i in range(4)]
