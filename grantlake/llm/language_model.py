@@ -21,9 +21,9 @@ PAD = b"\n" * (ORDER - 1)
 ALPHABET = 256
 # Text of one scoring block, and of one array pass over it.
 BLOCK_BYTES, SLICE_BYTES = 16 * 1024 * 1024, 1024 * 1024
-# A document is rejected above median + SPREAD * (upper quantile - median) of its language's trusted documents, whose own
-# scores are on the low side, being trained on; but not below MARGIN times the median perplexity.
-UPPER, SPREAD, MARGIN = 0.99, 3.0, 2.5
+# A document is rejected above this quantile of its language's trusted documents, each scored by a model that was fitted
+# on the other folds.
+UPPER, FOLDS = 0.99, 2
 # Log-perplexities are counted in steps of this, so that quantiles are exact sums of counts.
 STEP = 0.002
 
@@ -249,30 +249,48 @@ def document_scores(docs: DataFrame, model: DataFrame) -> DataFrame:
     return scored.groupBy("key_id", "key_text").agg(F.min("score").alias("score"))
 
 
+def held_out_scores(trusted: DataFrame) -> DataFrame:
+    """`lang, score`: log-perplexity of every distinct trusted document under a model of the folds it is not in.
+
+    Equal texts are in one fold. The models of all folds are fitted and asked at once, as languages of their own.
+    """
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+    rows = trusted.where("text IS NOT NULL").select("doc_id", "text", language(), fold.alias("fold"))
+
+    def named(fold: Column) -> Column:
+        return F.concat(fold.cast("string"), F.lit("|"), F.col("lang"))
+
+    others = rows.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)))).where("out != fold")
+    model = fit(others.select(named(F.col("out")).alias("lang"), "text"))
+    scored = document_scores(rows.select("doc_id", "text", named(F.col("fold")).alias("lang")), model)
+    keys = [c.alias(k) for k, c in document_key().items()]
+    # A fold without others has no model: its scores would be those of an empty one.
+    fitted = others.select("lang", F.col("out").alias("fold")).distinct()
+    own = rows.join(F.broadcast(fitted), ["lang", "fold"], "left_semi").select("lang", *keys).distinct()
+    return own.join(scored, ["key_id", "key_text"]).select("lang", "score")
+
+
 def thresholds(scores: DataFrame) -> DataFrame:
-    """`lang, limit` from the counted steps of trusted documents' log-perplexities: median and upper quantile."""
+    """`lang, limit` from the counted steps of held-out log-perplexities: their upper quantile."""
     steps = scores.where("score IS NOT NULL").groupBy("lang", F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))
     by_step = Window.partitionBy("lang").orderBy("step")
     shares = steps.withColumn("share", F.sum("n").over(by_step) / F.sum("n").over(Window.partitionBy("lang")))
-    quantile = [F.min(F.when(F.col("share") >= q, (F.col("step") + 1) * STEP)).alias(name) for q, name in ((0.5, "q50"), (UPPER, "q_upper"))]
-    found = shares.groupBy("lang").agg(*quantile)
-    return found.select("lang", (F.col("q50") + F.greatest(F.lit(float(np.log(MARGIN))), SPREAD * (F.col("q_upper") - F.col("q50")))).alias("limit"))
+    return shares.where(F.col("share") >= UPPER).groupBy("lang").agg((F.min("step") + 1).alias("step")).select("lang", (F.col("step") * STEP).alias("limit"))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`doc_id, lang, perplexity, limit, kept` for every row of `docs`.
 
     Trusted text is that of all documents labelled good and not toxic. A document without text, or in a language without
-    trusted text, has no perplexity and stays. A null lang is a language of its own. Repeated rows are judged alike.
+    trusted text, has no perplexity and stays; so does one in a language whose trusted text is in one fold, which has
+    no limit. A null lang is a language of its own. Repeated rows are judged alike.
     """
     trusted = trusted_documents(docs, labels)
     model = fit(trusted)
     keys = [c.alias(k) for k, c in document_key().items()]
     rows = cut(docs.select("doc_id", "lang", language().alias("_lang"), *keys))
     scored = cut(rows.join(document_scores(docs, model), ["key_id", "key_text"], "left"))
-    good = trusted.select("doc_id").distinct()
-    known = scored.join(broadcast_if_small(good, good.count()), "doc_id", "left_semi")
-    limits = thresholds(known.select(F.col("_lang").alias("lang"), "score"))
+    limits = thresholds(held_out_scores(trusted))
     judged = scored.join(limits.withColumnRenamed("lang", "_lang"), "_lang", "left")
     kept = F.coalesce(F.col("score") <= F.col("limit"), F.lit(True)).alias("kept")
     return judged.select("doc_id", "lang", F.exp("score").alias("perplexity"), F.exp("limit").alias("limit"), kept)

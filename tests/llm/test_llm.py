@@ -352,6 +352,23 @@ def test_language_model_tells_junk_from_text(spark):
     assert all(r.perplexity > r.limit for r in found if not r.kept)
 
 
+def test_language_model_limit_is_a_held_out_quantile(spark):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{name}.parquet") for name in ("documents", "labels"))
+    texts = dict(document_rows(spark))
+    rows = {r.doc_id: r for r in language_model.judge(docs, labels).collect()}
+    junk = collections.defaultdict(list)
+    for r in labels.where("quality = 0").collect():
+        found = texts[r.doc_id].split()
+        junk["repeats" if len(set(found)) <= 0.2 * len(found) else "other"].append(rows[r.doc_id].kept)
+    # Words repeated on and on have an ordinary perplexity: most of them pass, see the README.
+    assert sum(junk["other"]) <= 0.1 * len(junk["other"])
+    limits = {r.lang: r.limit for r in rows.values() if r.limit}
+    held = language_model.held_out_scores(language_model.trusted_documents(docs, labels)).toPandas()
+    assert set(limits) == set(held["lang"])
+    for lang, scores in held.groupby("lang")["score"]:
+        assert math.isclose(np.log(limits[lang]), np.quantile(scores, 0.99, method="inverted_cdf"), abs_tol=2 * language_model.STEP)
+
+
 PAGE = (
     '<html><head><title>T</title><script>var x="<p>no</p>";</script></head><body><header>Top</header><nav><a href="/">Home</a></nav>'
     '<div class="cookie-notice">We use cookies</div>{main}<div id="comments"><p>nice</p></div><footer>&copy; me</footer></body></html>'
