@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm import fingerprints, language_model, linedup, mixing, neardup, packing, pagetext, quality, secret_scan
+from grantlake.llm import fingerprints, language_model, linedup, mixing, neardup, packing, pagetext, quality, secret_scan, toxicity
 from grantlake.llm.archive import Archive
 from grantlake.llm.common import cut, table
 
@@ -95,6 +95,13 @@ def op10_warc(spark, sf_dir) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op11_toxicity(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 ORACLES = {
     "op2_mixing": r"""
 WITH sizes AS (
