@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm import fingerprints, language_model, linedup, mixing, neardup, packing, pagetext, quality, secret_scan, toxicity
+from grantlake.llm import (
+    fingerprints, language_model, linedup, mixing, neardup, packing, pagetext, periodic_runs, quality, secret_scan, toxicity,
+)
 from grantlake.llm.archive import Archive
 from grantlake.llm.common import cut, table
 
@@ -102,6 +104,17 @@ def op11_toxicity(spark, sf_dir) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op12_periodic_runs(spark, sf_dir) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.printed_runs(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 ORACLES = {
     "op2_mixing": r"""
 WITH sizes AS (
