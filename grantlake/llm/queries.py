@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlake.llm import (
-    fingerprints, language_model, linedup, mixing, neardup, packing, pagetext, periodic_runs, quality, secret_scan, toxicity,
+    collocations, fingerprints, language_model, linedup, mixing, neardup, packing, pagetext, periodic_runs, quality, secret_scan, toxicity,
 )
 from grantlake.llm.archive import Archive
 from grantlake.llm.common import cut, table
@@ -115,6 +115,11 @@ def op12_periodic_runs(spark, sf_dir) -> DataFrame:
     )
 
 
+@query
+def op13_collocations(spark, sf_dir) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLES = {
     "op2_mixing": r"""
 WITH sizes AS (
@@ -152,5 +157,41 @@ WITH sizes AS (
 )
 SELECT s.doc_id, s.size, t.source_size, t.target, coalesce(k.taken, 0)::BIGINT AS taken
 FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken k ON s.doc_id = k.doc_id
+""",
+    "op13_collocations": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), begins AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), counts AS (
+    SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase, count(*) AS f
+    FROM begins, (VALUES (1), (2), (3), (4)) s(size) WHERE i + size - 1 <= len(w) GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE size > 1 AND f >= 30
+), cuts AS (
+    SELECT lang, size, phrase, a, w, unnest(range(1, size)) AS k FROM candidates
+), scored AS (
+    SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * a // (l.f::HUGEINT + r.f))::BIGINT AS score
+    FROM cuts c
+    JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : c.size], ' ')
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), held AS (
+    SELECT DISTINCT lang, phrase, a AS longer, array_to_string(w[i : i + n - 1], ' ') AS inner_phrase
+    FROM candidates, (VALUES (2), (3)) s(n), (VALUES (1), (2), (3)) p(i) WHERE n < size AND i + n - 1 <= size
+), covered AS (
+    SELECT lang, inner_phrase AS phrase, max(longer) AS longer FROM held GROUP BY ALL
+)
+SELECT l.lang, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, l.phrase) AS rank, l.phrase, a, l, r, n, score
+FROM lowest l JOIN totals USING (lang) LEFT JOIN covered c ON c.lang = l.lang AND c.phrase = l.phrase
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+QUALIFY rank <= 2000
 """,
 }
