@@ -49,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """`df`, marked for broadcast only if its counted rows stay below the bound."""
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df

@@ -10,11 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import broadcast_if_small, byte_values, cut, mixed, sorted_set
+from grantlake.llm.common import broadcast_if_small, byte_values, cut, mixed, sorted_set, unused
 from grantlake.llm.neardup import SHINGLE_WORDS, SIMILARITY
 from grantlake.session import bound_batches
 
-# A line's tokens are its word shingles; lines with fewer words have none and always stay.
+# A line's tokens are its word shingles. A line with fewer words has one token, all its words: it is similar to equal lines
+# alone, which its digest tells, so it needs no rows of the join.
 MIN_WORDS = SHINGLE_WORDS
 # Token counts are kept in a table of fixed size, which travels to every task.
 COUNT_BITS = 16
@@ -29,6 +30,7 @@ SMALL_RUN = 32
 # Places of the parity bits of a token set.
 BITS = 256
 BIT_NAMES = [f"bits{k}" for k in range(BITS // 64)]
+BITS_LINES = 4096
 FIRST = pa.struct([("doc_id", pa.int64()), ("line", pa.int32())])
 # Odd, scatters the places of words in a shingle.
 FACTOR = np.uint64(0xD1B54A32D192ED03)
@@ -54,8 +56,8 @@ def word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return found
 
 
-def line_shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines with tokens: text index, line number, digest of the words; and all their tokens with line indexes."""
+def line_shingles(texts: list[bytes | None], least: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of `least` words or more: text index, line number, digest of the words; and all their shingles with line indexes."""
     # A line end after every text, and bytes to read on over the last word.
     data = b"\n".join([*[(t or b"").lower() for t in texts], bytes(8)])
     chars = np.frombuffer(data, np.uint8)[:-8]
@@ -73,7 +75,7 @@ def line_shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
     place = np.arange(len(line)) - first[line]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes + place.astype(np.uint64) * FACTOR))])
     digests = mixed(sums[first + n_words] - sums[first])
-    enough = n_words >= MIN_WORDS
+    enough = n_words >= least
     n = max(len(line) - SHINGLE_WORDS + 1, 0)
     found = hashes[:n].copy()
     for i in range(1, SHINGLE_WORDS):
@@ -100,7 +102,7 @@ def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(arrays, names)
 
     for part in _parts(batches):
-        text, number, digests, tokens, _ = line_shingles(byte_values(part.column("text")))
+        text, number, digests, tokens, _ = line_shingles(byte_values(part.column("text")), 1)
         counts += np.bincount((tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
         yield rows(digests, part.column("doc_id").to_numpy()[text], number)
     used = np.flatnonzero(counts)
@@ -239,9 +241,16 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """For each of `n` lines, the parity of its tokens in each of BITS places, packed into BITS / 64 integers."""
-    flat = np.bincount(owner * BITS + (tokens % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1
-    return np.packbits(flat.astype(np.uint8)).view(np.int64).reshape(n, BITS // 64)
+    """For each of `n` lines, tokens in the order of their lines, the parity of its tokens in each of BITS places, packed into BITS / 64 integers."""
+    place = (tokens % np.uint64(BITS)).astype(np.int64)
+    found = np.empty((n, BITS // 64), np.int64)
+    # Some thousands of lines at a time: the counts take BITS numbers a line.
+    for low in range(0, n, BITS_LINES):
+        high = min(low + BITS_LINES, n)
+        a, b = np.searchsorted(owner, (low, high))
+        flat = np.bincount((owner[a:b] - low) * BITS + place[a:b], minlength=(high - low) * BITS) & 1
+        found[low:high] = np.packbits(flat.astype(np.uint8)).view(np.int64).reshape(high - low, BITS // 64)
+    return found
 
 
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +351,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """`doc_id, lines`: the numbers (from 0) of the lines of each document that repeat an earlier line.
 
     A line is removed if an earlier one (by doc_id, then line number) has the same words, or word shingles with a
-    Jaccard similarity of 0.75 or more, whether that one is removed or not. A-Z counts as lower case. Lines of fewer
-    than five words stay, and so do all lines of a document without text or doc_id. Rows that share a doc_id are one
+    Jaccard similarity of 0.75 or more, whether that one is removed or not. A-Z counts as lower case. A line of fewer
+    than five words is one token, all its words. Lines without words stay, and so do all lines of a document without text
+    or doc_id. Rows that share a doc_id are one
     document: their equal lines of the same number do not remove each other.
     """
     own = bound_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL"))
@@ -373,11 +383,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def without_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """The documents with all their columns, the given lines cut out of the text; n_chars follows where it is a column."""
-    gone = cut(removed.select(F.col("doc_id").alias("_line_doc"), F.col("lines").alias("_lines")))
-    n_gone = gone.agg(F.count("*") + F.coalesce(F.sum(F.size("_lines")), F.lit(0))).first()[0]
+    gone = cut(removed.select(F.col("doc_id").alias(unused(docs, "doc")), F.col("lines").alias(unused(docs, "lines"))))
+    gone_doc, lines = gone.columns
+    n_gone = gone.agg(F.count("*") + F.coalesce(F.sum(F.size(lines)), F.lit(0))).first()[0]
     gone = broadcast_if_small(gone, n_gone)
-    joined = docs.join(gone, docs["doc_id"] == gone["_line_doc"], "left")
-    kept = F.filter(F.split(docs["text"], "\n", -1), lambda _, i: ~F.array_contains(F.col("_lines"), i))
-    text = F.when(F.col("_lines").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    changed = {"text": text, "n_chars": F.when(F.col("_lines").isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    joined = docs.join(gone, docs["doc_id"] == gone[gone_doc], "left")
+    kept = F.filter(F.split(docs["text"], "\n", -1), lambda _, i: ~F.array_contains(F.col(lines), i))
+    text = F.when(F.col(lines).isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    changed = {"text": text, "n_chars": F.when(F.col(lines).isNull(), docs["n_chars"]).otherwise(F.length(text).cast("long"))} if "n_chars" in docs.columns else {"text": text}
     return joined.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
