@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -27,6 +28,8 @@ SMALL = 256
 TOKENIZER = "byte_bpe_50k.json"
 # Fixed value: how the tokenizer splits text before merging.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -61,11 +64,15 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            described = json.load(file)
+        vocabulary = described["model"]["vocab"]
+        # Added tokens are found in the text first and have an id as a whole; what is between them is encoded by itself.
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in described.get("added_tokens", ())}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         # Bytes are written as printable characters: those that are printable as themselves, the others from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t != "<|endoftext|>"}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in self.added}
         self.encode = tiktoken.Encoding("ids", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words = Words(self.packed)
 
@@ -73,6 +80,11 @@ class Encoder:
         return array("I", self.encode(text)).tobytes()
 
     def ids(self, text: str) -> bytes:
+        if self.parts is None or not self.parts.search(text):
+            return self.plain_ids(text)
+        return b"".join(self.added.get(part) or self.plain_ids(part) for part in self.parts.split(text) if part)
+
+    def plain_ids(self, text: str) -> bytes:
         """Word by word, as no token reaches over a space or line end before a word; other texts in one go."""
         first, *words = text.replace("\n", " \n").split(" ")
         try:
