@@ -15,8 +15,9 @@ ASSIGN_LEAST = 6
 GENERIC = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
 GENERIC_LEAST_DISTINCT = 10
 KINDS = ("assign", "access", "hex", "generic")
-# A value in the texts of so many owners is an example; one of a single owner looks live.
-EXAMPLE_OWNERS = 3
+# A value in the texts of so many owners, or in so many repositories of whatever owners, is a widely copied example;
+# any other, of one or two owners in few repositories, looks live.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 BLOCK = 256
 KEY = ["key_id", "key_text"]
 
@@ -97,18 +98,16 @@ def _hash(span: Column) -> Column:
 def scan_secrets(docs: DataFrame, owner: str = "source") -> DataFrame:
     """`doc_id, base, added, n_live, n_examples` for every row of `docs`; spans are (start, kind, end, value).
 
-    Base spans are found in every text. Generated-looking runs beside them are added if a single owner has them; what
-    many owners have is an example. n_live and n_examples count the document's distinct values of either kind. Null
+    Base spans are found in every text. Generated-looking runs beside them are added if they look live: fewer than
+    EXAMPLE_OWNERS owners and fewer than EXAMPLE_REPOSITORIES documents have them. All other values are examples. n_live and n_examples count the document's distinct values of either kind. Null
     texts are empty; a null owner is the empty one; repeated rows count once and are returned each.
     """
     found = cut(candidates(docs, owner))
-    owners = ownership(found).where(f"n_owners = 1 OR n_owners >= {EXAMPLE_OWNERS}")
+    owners = ownership(found)
     uses = found.select(*KEY, F.explode(F.array_distinct(F.concat(F.transform("base", _hash), F.transform("generic", _hash)))).alias("value_hash"))
     judged = uses.distinct().join(owners, "value_hash").groupBy(*KEY)
-    live, example = F.col("n_owners") == 1, F.col("n_owners") >= EXAMPLE_OWNERS
-    facts = judged.agg(
-        F.collect_set(F.when(live, F.col("value_hash"))).alias("live"), F.count_if(example).alias("n_examples")
-    )
+    live = (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_repositories") < EXAMPLE_REPOSITORIES)
+    facts = judged.agg(F.collect_set(F.when(live, F.col("value_hash"))).alias("live"), F.count_if(~live).alias("n_examples"))
     joined = found.join(facts, KEY, "left")
     own = F.coalesce("live", F.array().cast("array<string>"))
     known = F.transform("base", lambda s: s["value"])
