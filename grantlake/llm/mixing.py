@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import WORD, broadcast_if_small, cut, running_totals
+from grantlake.llm.common import WORD, broadcast_if_small, cut, running_totals, unused
 
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
@@ -21,10 +21,16 @@ def shuffle_key(doc_id: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary"))
 
 
+def text_mark(text: Column) -> Column:
+    """Tells rows of one source and doc_id apart, null ids among them."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def document_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key")
-    )
+        "doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id"), seed).alias("key"),
+        text_mark(F.col("text")).alias("mark"),
+    )
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, int]:
@@ -57,66 +63,89 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> tupl
     return weighed.withColumn("target", target).drop("limit"), total
 
 
-def queue(sizes: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
-    """Every document's two passes in global order: virtual `finish` time and words `queued` before it.
+def ordered_documents(sizes: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
+    """Every document that has words, with its source's columns and `before`, the words of its source before it.
 
-    A pass of a document finishes at its source's words so far, divided by the weight. Empty documents do not queue.
+    Rows equal in source, doc_id and text follow each other in any order, each with a place of its own.
     """
-    counted = sizes.where("size > 0")
-    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id")]
-    ordered = running_totals(counted, order, {"words_before": F.col("size")})
-    known = broadcast_if_small(
-        sources.select(F.col("source").alias("_source"), "rank", "start", "source_size", "weight"), n_sources
-    )
+    order = [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("mark")]
+    ordered = running_totals(sizes.where("size > 0"), order, {"words_before": F.col("size")})
+    known = broadcast_if_small(sources.withColumnRenamed("source", "_source"), n_sources)
     placed = ordered.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    passes = placed.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(PASSES)])))
-    words = F.col("words_before") + F.col("size") - F.col("start") + F.col("pass") * F.col("source_size")
-    finished = passes.select("doc_id", "source", "rank", "size", "key", "pass", (words / F.col("weight")).alias("finish"))
-    return running_totals(
-        finished, [F.col(c) for c in ("finish", "rank", "pass", "key", "doc_id")], {"queued": F.col("size")}
-    )
+    return cut(placed.withColumn("before", F.col("words_before") - F.col("start")).drop("words_before", "start"))
 
 
-def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, int]:
-    """One row per source: size, target, and the last queue entry of it before the budget ends; and their number.
+def queue(ordered: DataFrame) -> DataFrame:
+    """Every document's passes in global order: virtual `finish` time and words `queued` before it.
 
-    Within a source the queue runs by pass, shuffle key and doc_id, so the truncated queue is a prefix of each source.
+    A pass of a document finishes at its source's words so far, divided by the weight. Empty documents do not queue.
+    """
+    passes = ordered.withColumn("pass", F.explode(F.array(*[F.lit(i) for i in range(PASSES)])))
+    words = F.col("before") + F.col("size") + F.col("pass") * F.col("source_size")
+    finished = passes.withColumn("finish", words / F.col("weight"))
+    return running_totals(finished, [F.col(c) for c in ("finish", "rank", "pass", "before")], {"queued": F.col("size")})
+
+
+def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame, int]:
+    """One row per source: size, target, and `last`, the last queue entry of it before the budget ends; the ordered
+    documents; and the number of sources.
+
+    Within a source the queue runs by pass, then by the documents' order, so the truncated queue is a prefix of each source.
     """
     sources, total = source_targets(sizes, weights)
     n_sources = sources.count()
-    within = queue(sizes, sources, n_sources).where(2 * (F.col("queued") + F.col("size")) <= 3 * total)
-    last = within.groupBy(F.col("source").alias("_source")).agg(F.max(F.struct("pass", "key", "doc_id")).alias("last"))
+    ordered = ordered_documents(sizes, sources, n_sources)
+    within = queue(ordered).where(2 * (F.col("queued") + F.col("size")) <= 3 * total)
+    entry = F.struct("pass", "before", "key", "doc_id", "mark")
+    last = within.groupBy(F.col("source").alias("_source")).agg(F.max(entry).alias("last"))
     plan = sources.join(last, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return cut(plan.select("source", "source_size", "weight", "target", "last")), n_sources
-
-
-def copies(key: Column, doc_id: Column, size: Column, last: Column) -> Column:
-    """How often a document is in the mix, given the last queue entry of its source."""
-    reached = F.struct(key, doc_id) <= F.struct(last["key"], last["doc_id"])
-    taken = last["pass"].cast("int") + F.when(reached, 1).otherwise(0)
-    return F.when((size > 0) & last.isNotNull(), taken).otherwise(0)
+    return cut(plan.select("source", "source_size", "weight", "target", "last")), ordered, n_sources
 
 
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """`doc_id, source, size, source_size, target, copies` for every row of `sizes` (see `document_sizes`).
 
-    Null or blank texts have size 0 and are never taken. Rows repeated in all of source and doc_id are taken together.
-    Without any words all targets are 0. Null doc_ids share one key and sort first.
+    Null or blank texts have size 0 and are never taken. Every row is taken for itself: rows that share a doc_id, null ids
+    too, are told apart by their text, and rows equal in that as well are taken one after the other. Without any words
+    all targets are 0. Null doc_ids share one key.
     """
-    plan, n_sources = mixing_plan(sizes, weights)
-    known = broadcast_if_small(plan.withColumnRenamed("source", "_source"), n_sources)
-    joined = sizes.join(known, F.col("source").eqNullSafe(F.col("_source")))
-    n_copies = copies(F.col("key"), F.col("doc_id"), F.col("size"), F.col("last"))
+    plan, ordered, n_sources = mixing_plan(sizes, weights)
+    known = broadcast_if_small(plan.select(F.col("source").alias("_source"), "source_size", "target", "last"), n_sources)
+    rows = ordered.select("doc_id", "source", "size", "before").unionByName(
+        sizes.where("size = 0").select("doc_id", "source", "size", F.lit(None).cast("long").alias("before"))
+    )
+    joined = rows.join(known, F.col("source").eqNullSafe(F.col("_source")))
+    taken = F.col("last.pass").cast("int") + F.when(F.col("before") <= F.col("last.before"), 1).otherwise(0)
+    n_copies = F.when((F.col("size") > 0) & F.col("last").isNotNull(), taken).otherwise(0)
     return joined.select("doc_id", "source", "size", "source_size", "target", n_copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """The documents of the mix with all their columns; one taken twice is there twice. Texts are not shuffled."""
-    plan, n_sources = mixing_plan(cut(document_sizes(docs, seed)), weights)
-    known = broadcast_if_small(plan.select(F.col("source").alias("_mix_source"), F.col("last").alias("_mix_last")), n_sources)
-    joined = docs.join(known, docs["source"].eqNullSafe(known["_mix_source"]))
-    n_copies = copies(
-        shuffle_key(docs["doc_id"], seed), docs["doc_id"], word_count(docs["text"]), F.col("_mix_last")
-    )
-    repeated = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), n_copies)))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    """The documents of the mix with all their columns; one taken twice is there twice. Texts are not shuffled.
+
+    Where the last entry of a source is one of several equal rows, as many of those are taken as come up to it.
+    """
+    plan, ordered, n_sources = mixing_plan(cut(document_sizes(docs, seed)), weights)
+    # How many rows that equal the last one are reached: their places up to it.
+    known = broadcast_if_small(plan.select(F.col("source").alias("_source"), "last"), n_sources)
+    same = ordered.join(known, F.col("source").eqNullSafe(F.col("_source")))
+    equal = F.col("key").eqNullSafe(F.col("last.key")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id")) & (F.col("mark") == F.col("last.mark"))
+    reached = same.where(equal & (F.col("before") <= F.col("last.before"))).groupBy(F.col("source").alias("_reached")).agg(F.count("*").alias("n"))
+    ends = cut(plan.join(reached, F.col("source").eqNullSafe(F.col("_reached")), "left").select("source", "last", "n"))
+    own = {name: unused(docs, name) for name in ("mix_source", "mix_last", "mix_n", "mix_copies", "mix_row", "mix_place")}
+    source, last, n, copies, row, place = own.values()
+    ends = ends.select(F.col("source").alias(source), F.col("last").alias(last), F.col("n").alias(n))
+    joined = docs.join(broadcast_if_small(ends, n_sources), docs["source"].eqNullSafe(F.col(source)))
+    here = F.struct(shuffle_key(docs["doc_id"], seed).alias("key"), docs["doc_id"].alias("doc_id"), text_mark(docs["text"]).alias("mark"))
+    end = F.struct(F.col(last)["key"].alias("key"), F.col(last)["doc_id"].alias("doc_id"), F.col(last)["mark"].alias("mark"))
+    some = (word_count(docs["text"]) > 0) & F.col(last).isNotNull()
+    whole = joined.withColumn(copies, F.when(some, F.col(last)["pass"].cast("int")).otherwise(0)).withColumn(row, F.when(some, here.eqNullSafe(end)))
+    before = whole.where(~F.coalesce(F.col(row), F.lit(False))).withColumn(copies, F.col(copies) + F.when(some & (here < end), 1).otherwise(0))
+    at_end = cut(whole.where(F.col(row)).withColumn(place, F.monotonically_increasing_id()))
+    numbered = running_totals(at_end, [F.col(source).asc_nulls_last(), F.col(place)], {unused(docs, "mix_total"): F.lit(1)})
+    total = numbered.columns[-1]
+    by_source = numbered.groupBy(F.col(source).alias("_first")).agg(F.min(total).alias("_start"))
+    counted = numbered.join(broadcast_if_small(by_source, n_sources), F.col(source).eqNullSafe(F.col("_first")))
+    ending = counted.withColumn(copies, F.col(copies) + F.when(F.col(total) - F.col("_start") < F.col(n), 1).otherwise(0))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return before.select(*columns, copies).unionByName(ending.select(*columns, copies)).select(*columns, F.explode(F.array_repeat(F.lit(1), F.col(copies))).alias(row)).drop(row)

@@ -123,8 +123,8 @@ def op13_collocations(spark, sf_dir) -> DataFrame:
 ORACLES = {
     "op2_mixing": r"""
 WITH sizes AS (
-    SELECT doc_id, source, md5(doc_id::VARCHAR || ':mix-1') AS key,
-        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+    SELECT row_number() OVER () AS row, doc_id, source, md5(coalesce(doc_id::VARCHAR, 'null') || ':mix-1') AS key,
+        md5(coalesce(text, '')) AS mark, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
     FROM documents
 ), totals AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
@@ -143,20 +143,20 @@ WITH sizes AS (
     SELECT source, source_size, rank, weight, total, least(bound::DOUBLE, settled.level * weight) AS target
     FROM weighed, settled
 ), entries AS (
-    SELECT s.doc_id, s.size, s.key, pass, t.*,
-        (sum(s.size) OVER (PARTITION BY s.source, pass ORDER BY s.key, s.doc_id ROWS UNBOUNDED PRECEDING)::BIGINT
+    SELECT s.row, s.size, pass, t.*, row_number() OVER (PARTITION BY s.source, pass ORDER BY s.key, s.doc_id NULLS FIRST, s.mark, s.row) AS place,
+        (sum(s.size) OVER (PARTITION BY s.source, pass ORDER BY s.key, s.doc_id NULLS FIRST, s.mark, s.row ROWS UNBOUNDED PRECEDING)::BIGINT
             + pass * t.source_size) / t.weight AS finish
     FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) p(pass)
     WHERE s.size > 0
 ), queued AS (
-    SELECT doc_id, size, total,
-        sum(size) OVER (ORDER BY finish, rank, pass, key, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS words
+    SELECT row, size, total,
+        sum(size) OVER (ORDER BY finish, rank, pass, place ROWS UNBOUNDED PRECEDING)::BIGINT AS words
     FROM entries
 ), taken AS (
-    SELECT doc_id, sum(size)::BIGINT AS taken FROM queued WHERE 2 * words <= 3 * total GROUP BY doc_id
+    SELECT row, sum(size)::BIGINT AS taken FROM queued WHERE 2 * words <= 3 * total GROUP BY row
 )
 SELECT s.doc_id, s.size, t.source_size, t.target, coalesce(k.taken, 0)::BIGINT AS taken
-FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken k ON s.doc_id = k.doc_id
+FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken k ON s.row = k.row
 """,
     "op13_collocations": r"""
 WITH pieces AS (
