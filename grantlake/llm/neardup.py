@@ -258,7 +258,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     marks = cut(near_duplicates(docs))
     dropped = marks.where("NOT kept").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti")
-    repeated = marks.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    repeated = marks.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
     if repeated.isEmpty():
         return left.select(*docs.columns)
     once = left.join(repeated, "doc_id").dropDuplicates(["doc_id"])

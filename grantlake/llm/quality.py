@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import byte_values
+from grantlake.llm.common import byte_values, unused
 from grantlake.session import bound_batches
 
 # Most labelled documents the trees are fitted on: those with the smallest hash of their id.
@@ -258,3 +258,14 @@ def quality_rules(docs: DataFrame, trees: Trees) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*own, *added])
 
     return bound_batches(docs.select(*own)).mapInArrow(judge, schema)
+
+
+def good_documents(docs: DataFrame, trees: Trees) -> DataFrame:
+    """The documents that the rules keep, with all their columns as they are, whatever they are called."""
+    renamed = docs
+    names = []
+    for name in docs.columns:
+        names.append(unused(renamed, name) if name.startswith("_") else name)
+        renamed = renamed.withColumnRenamed(name, names[-1])
+    kept = quality_rules(renamed, trees).where("_kept")
+    return kept.select(*[F.col(f"`{new}`").alias(name) for new, name in zip(names, docs.columns)])

@@ -159,6 +159,36 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(mixing.document_sizes(empty)).count() == 0 == mixing.mixed_documents(empty).count()
 
 
+def test_mixing_of_rows_without_ids(spark):
+    rows = [(None, words(i, 20 + i), "a" if i % 2 else "b") for i in range(59)] + [(7, words(3, 30), "b")] * 40 + [(1, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"mix_copies": F.lit("x"), "_mix_n": F.lit("y")}).repartition(3)
+    found = mixing.mix(mixing.document_sizes(docs)).collect()
+    assert len(found) == len(rows)
+    longest = max(r.size for r in found)
+    for source in "ab":
+        own = [r for r in found if r.source == source]
+        assert own[0].target - 2 * longest <= sum(r.size * r.copies for r in own) <= own[0].target + longest
+    assert sum(r.size * r.copies for r in found) <= 1.5 * sum(r.size for r in found)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    taken = collections.Counter()
+    for r in found:
+        taken[r.doc_id, r.source, r.size] += r.copies
+    assert collections.Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed.collect()) == +taken
+    assert collections.Counter(map(tuple, mixed.collect())) == collections.Counter(map(tuple, mixing.mixed_documents(docs.repartition(2)).collect()))
+
+
+def test_user_columns_survive(spark):
+    rows = [(i % 30, words(i % 20, 80), "en", "a", 1) for i in range(60)]
+    names = ("_kept", "_score", "count", "_lines", "_line_doc", "lines", "_n", "n", "_reached", "key", "mark", "_total", "__kept")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(f"own {c}") for c in names})
+    trees = quality.fit_quality(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    stages = [quality.good_documents(docs, trees), linedup.without_lines(docs, linedup.removed_lines(docs)), neardup.without_near_duplicates(docs), mixing.mixed_documents(docs)]
+    for found in stages:
+        assert found.columns == docs.columns
+        assert found.select(*names).distinct().collect() == [tuple(f"own {c}" for c in names)]
+
+
 def test_near_duplicates(spark, docs, empty):
     rows = document_rows(spark)
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -198,7 +228,7 @@ def test_super_minhash_estimates_similarity():
 
 
 def repeated_lines(rows):
-    lines = [(d, k, shingles(line)) for d, t in rows for k, line in enumerate((t or "").split("\n")) if len(line.split()) >= 5]
+    lines = [(d, k, shingles(line)) for d, t in rows for k, line in enumerate((t or "").split("\n"))]
     seen, found = collections.defaultdict(list), collections.defaultdict(set)
     for i, (d, k, s) in enumerate(lines):
         shared = collections.Counter(j for x in s for j in seen[x])
@@ -214,7 +244,7 @@ def test_line_dedup(spark, docs, empty):
     found = linedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.lines for r in found} == repeated_lines(rows)
     removed = linedup.removed_lines(docs)
-    assert {r.doc_id: r.lines for r in removed.collect()} == {2: [0], 4: [0, 1]}
+    assert {r.doc_id: r.lines for r in removed.collect()} == {2: [0], 4: [0, 1], 9: [0]}
     texts = {(r.doc_id, r.text) for r in linedup.without_lines(docs, removed).collect()}
     assert (4, "") in texts and (5, None) in texts and (1, words(0, 80)) in texts
     assert linedup.removed_lines(empty).count() == 0
@@ -250,7 +280,6 @@ def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     texts = {d: t for d, t, *_ in ROWS if d is not None}
     ids = collections.defaultdict(list)
     for r in sorted({(r.doc_id, r.piece, r.start, tuple(r.ids)) for r in rows if r.doc_id is not None}):
@@ -318,6 +347,11 @@ def test_secrets(spark, docs, empty):
     copied = [(i, f"x {'Ab3' * 5}{'cD4' * 5} y", f"s{i}") for i in range(3)] + [(9, "x " + "Qw7" * 5 + "eR8" * 5 + "tY" * 3, "s")]
     rows = secret_scan.scan_secrets(spark.createDataFrame(copied * 2, "doc_id long, text string, source string")).collect()
     assert len(rows) == 8 and {(r.doc_id, len(r.added), r.n_live) for r in rows if r.doc_id < 9} == {(i, 0, 0) for i in range(3)}
+    # A value of two owners is live while few documents have it; one that many documents of a single owner have is an example.
+    spread = [(i, f"{'Zx9Kw4' * 3}pL5mN7 in {i}", "one") for i in range(12)] + [(20 + i, "Ty4Rb6" * 3 + "kJ8hG2", f"s{i}") for i in range(2)]
+    rows = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(spread, "doc_id long, text string, source string")).collect()}
+    assert {(len(rows[i].added), rows[i].n_live, rows[i].n_examples) for i in range(12)} == {(0, 0, 1)}
+    assert {(len(rows[i].added), rows[i].n_live, rows[i].n_examples) for i in (20, 21)} == {(1, 1, 0)}
     many = "token=" + " token=".join(f"abcdef{i}" for i in range(900))
     one = secret_scan.scan_secrets(spark.createDataFrame([(1, many, "a")], "doc_id long, text string, source string")).first()
     assert [(s.start, s.kind, s.end) for s in one.base] == base_spans(many)
