@@ -14,7 +14,7 @@ ORACLE_SQL = None
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     trees = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.quality_rules(docs, trees).where("_kept").select(*docs.columns)
+    return quality.good_documents(docs, trees)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
