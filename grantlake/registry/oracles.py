@@ -259,6 +259,7 @@ ORACLES: dict[str, str] = {
       FROM conversations c JOIN conversations b ON b.conv_id = c.conv_id AND b.turn + 1 = c.turn
       LEFT JOIN s ON s.conv_id = c.conv_id AND s.turn = c.turn""",
     "keyword_retrieve_topk": f"WITH {HITS} SELECT question_id, rank, record_id, ord, score FROM hits",
+    "keyword_index_topk": f"WITH {HITS} SELECT question_id, rank, record_id, ord, score FROM hits",
     "cosine_retrieve_topk": f"""
       WITH {CENTROIDS}
       SELECT question_id, rank, record_id, round(score, 6) AS score FROM (

@@ -19,6 +19,7 @@ from grantlake.operators.dedup import first_wins, key_collisions, last_wins
 from grantlake.operators.embed import chunks, fill_embeddings
 from grantlake.operators.fields import descriptions, labelled_fields, sections
 from grantlake.operators.joins import join_per_key
+from grantlake.operators.keyword_index import keyword_index_topk as index_topk
 from grantlake.operators.links import LinkRule, explode_links, hrefs, listing_links, page_links
 from grantlake.operators.normalize import normalize, normalize_source, record_json
 from grantlake.operators.rank import DEFAULT_TOP_K
@@ -81,6 +82,13 @@ def keyword_retrieve_topk(spark, sf_dir):
     return keyword_topk(inputs.user_questions(spark, sf_dir), records)
 
 
+@query
+def keyword_index_topk(spark, sf_dir):
+    """The same ranking by a stored index of the records."""
+    records = inputs.document_records(spark, sf_dir).select("record_id", "ord", record_text().alias("text"))
+    return index_topk(inputs.user_questions(spark, sf_dir), records)
+
+
 @query
 def cosine_retrieve_topk(spark, sf_dir):
     questions = inputs.label_centroids(spark, sf_dir).withColumnRenamed("label", "question_id")

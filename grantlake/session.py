@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINT_KEY = "spark.checkpoint.dir"
 BATCH_BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 1024 * 1024)
 
 # Runtime SQL settings the jobs are written for. Applied only by `build_session`;
@@ -72,3 +76,27 @@ def spread_by(df: DataFrame, key: str) -> DataFrame:
     if size is not None:
         n_parts = max(n_parts, min(size // PARTITION_BYTES, MAX_PARTS))
     return df.repartition(n_parts, key)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share: `spark.checkpoint.dir`, or one of our own on a single machine (tests)."""
+    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all machines share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="grantlake-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows, written to the shared folder and read again, so that what follows does not compute them twice."""
+    path = path or new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
