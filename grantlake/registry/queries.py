@@ -24,6 +24,7 @@ from grantlake.operators.links import LinkRule, explode_links, hrefs, listing_li
 from grantlake.operators.normalize import normalize, normalize_source, record_json
 from grantlake.operators.rank import DEFAULT_TOP_K
 from grantlake.operators.retrieve import cosine_topk, keyword_scores, keyword_topk, term_frequencies
+from grantlake.operators.vector_index import VectorIndex, recall
 from grantlake.plans.answers import agents_used, answer_questions, prompts, questions_with_hits
 from grantlake.plans.payloads import (
     award_links,
@@ -36,6 +37,7 @@ from grantlake.plans.payloads import (
 from grantlake.registry import inputs
 from grantlake.registry.inputs import FETCHED_AT, table
 from grantlake.schemas import SOURCES
+from grantlake.session import stored
 from grantlake.sources.ckan import dataset_payloads
 from grantlake.sources.pages import fetched, until_empty
 from grantlake.sources.zones import envelope, parse_raw_lines, raw_lines
@@ -89,12 +91,27 @@ def keyword_index_topk(spark, sf_dir):
     return index_topk(inputs.user_questions(spark, sf_dir), records)
 
 
-@query
-def cosine_retrieve_topk(spark, sf_dir):
+def _vectors(spark, sf_dir):
+    """The mean of each label as a question, and all vectors as records."""
     questions = inputs.label_centroids(spark, sf_dir).withColumnRenamed("label", "question_id")
     vectors = table(spark, sf_dir, "embeddings")
-    records = vectors.select(F.col("vec_id").cast("string").alias("record_id"), F.col("vec_id").alias("ord"), "embedding")
-    hits = cosine_topk(questions, records)
+    return questions, vectors.select(F.col("vec_id").cast("string").alias("record_id"), F.col("vec_id").alias("ord"), "embedding")
+
+
+@query
+def cosine_lsh_topk(spark, sf_dir):
+    """The approximate ranking, with each question's recall against the exact one."""
+    questions, records = _vectors(spark, sf_dir)
+    questions = stored(questions)
+    found = VectorIndex.build(records).topk(questions)
+    shares = recall(found, cosine_topk(questions, records))
+    hits = found.join(shares, "question_id")
+    return hits.select("question_id", "rank", "record_id", F.round("score", 6).alias("score"), F.round("recall", 3).alias("recall"))
+
+
+@query
+def cosine_retrieve_topk(spark, sf_dir):
+    hits = cosine_topk(*_vectors(spark, sf_dir))
     return hits.select("question_id", "rank", "record_id", F.round("score", 6).alias("score"))
 
 
