@@ -30,7 +30,7 @@ MIN_COUNT, TOP = 30, 2000
 # A candidate goes if a longer one holds it in so many of a hundred of its occurrences.
 COVERED = 80
 # Text, and words of chunks, that a task works on at a time.
-TEXT_BYTES, CHUNK_WORDS = 8 * 1024 * 1024, 2_000_000
+TEXT_BYTES, CHUNK_WORDS = 4 * 1024 * 1024, 600_000
 # Bits of the screen of frequent pairs: so many for each pair, at most this many.
 BITS_PER_PAIR, MAX_BITS = 16, 1 << 27
 # Groups a language's candidates are ranked in before the last ranking.
