@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.operators.dedup import last_wins
 from grantlake.operators.normalize import check_source, normalize_source
-from grantlake.schemas import NORMALIZED, REPORT, SOURCES
-from grantlake.sources.zones import LINE_ORDER, default_run_date, envelope, read_raw, write_processed, write_raw
+from grantlake.plans.snapshots import Snapshots
+from grantlake.schemas import REPORT, SOURCES
+from grantlake.session import stored
+from grantlake.sources.zones import default_run_date, envelope, read_raw, write_processed, write_raw
 
 
 def _counted(df: DataFrame, write: Callable[[DataFrame], None]) -> int:
@@ -67,56 +67,12 @@ def run_process(
     def step(source: str) -> int:
         raw = read_raw(spark, raw_root, check_source(source), run_date)
         records = normalize_source(raw, source)
+        if snapshots is not None:
+            # Parsed once for both uses.
+            records = stored(records, snapshots.scratch())
         n_records = _counted(records, lambda df: write_processed(df, processed_root, source, run_date, form))
         if snapshots is not None:
             snapshots.upsert(source, records)
         return n_records
 
     return _run(spark, "process", tuple(sources or SOURCES), run_date, step)
-
-
-class Snapshots:
-    """The current record per id: for each source a series of parquet versions.
-
-    A record id names its source, so an upsert rewrites that source alone. A version is never changed once
-    written: each upsert reads the newest finished one and writes the next, so readers and restarted
-    tasks always see whole files. Old versions are left for the owner of the folder to drop.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _folder(self, source: str) -> str:
-        return f"{self.root}/source={source}"
-
-    def _versions(self, source: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        folder = path(self._folder(source))
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return []
-        children = [status.getPath() for status in files.listStatus(folder)]
-        finished = [child.getName() for child in children if files.exists(path(child, "_SUCCESS"))]
-        return sorted(int(name.removeprefix("version=")) for name in finished if name.startswith("version="))
-
-    def current(self, source: str) -> DataFrame | None:
-        versions = self._versions(source)
-        if not versions:
-            return None
-        stored = self.spark.read.schema(NORMALIZED).parquet(f"{self._folder(source)}/version={versions[-1]}")
-        return stored.select(*NORMALIZED.fieldNames())
-
-    def all_current(self) -> DataFrame:
-        """The current records of every source that has any."""
-        found = [current for current in map(self.current, SOURCES) if current is not None]
-        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], NORMALIZED)
-
-    def upsert(self, source: str, records: DataFrame) -> None:
-        """Replace or add records of a source by id; of equal ids in ``records`` the last line wins."""
-        current, versions = self.current(source), self._versions(source)
-        batch = records.select(*NORMALIZED.fieldNames(), LINE_ORDER)
-        if current is not None:
-            current = current.withColumn(LINE_ORDER, F.lit(None).cast(batch.schema[LINE_ORDER].dataType))
-        merged = last_wins(current, batch, "record_id", LINE_ORDER).drop(LINE_ORDER)
-        target = f"{self._folder(source)}/version={versions[-1] + 1 if versions else 0}"
-        merged.write.mode("overwrite").parquet(target)
