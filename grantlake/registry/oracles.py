@@ -245,6 +245,20 @@ def topics(column: str) -> str:
 GUIDE_EXTRA = "CASE WHEN lang = 'de' THEN ' with payg and super' ELSE '' END"
 CHUNK_SIZE, CHUNK_STEP = 200, 160
 
+LETTERS = ", ".join(f"length({{0}}) - length(replace({{0}}, '{x}', ''))" for x in "aeinot")
+EMBEDDED_HITS = f"""{RECORDS},{QUESTIONS},
+record_vectors AS (SELECT doc_id, [{LETTERS.format("record_text")}]::DOUBLE[] AS v FROM records),
+question_vectors AS (SELECT question_id, [{LETTERS.format("text")}]::DOUBLE[] AS q FROM questions),
+scored AS (
+  SELECT question_id, doc_id, list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))) AS score
+  FROM record_vectors, question_vectors WHERE list_dot_product(v, q) > 0
+),
+hits AS (
+  SELECT question_id, rank, doc_id AS ord, score, r.* FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM scored
+  ) JOIN records r USING (doc_id) WHERE rank <= 5
+)"""
+
 ORACLES: dict[str, str] = {
     "record_ids": f"SELECT doc_id, {record_key('source', 'nullif(lang, ' + text('es') + ')')} AS record_id FROM documents",
     "record_text_snippet": f"WITH {RECORDS} SELECT record_id, record_text, nullif(substr(description, 1, 280), '') AS snippet FROM records",
@@ -423,4 +437,52 @@ ORACLES: dict[str, str] = {
       c AS (SELECT record_id, words, unnest(range(greatest(len(words) - {CHUNK_SIZE - CHUNK_STEP} - 1, 0) // {CHUNK_STEP} + 1)) AS chunk_no
             FROM w WHERE len(words) > 0)
       SELECT record_id, chunk_no, array_to_string(words[chunk_no * {CHUNK_STEP} + 1 : chunk_no * {CHUNK_STEP} + {CHUNK_SIZE}], ' ') AS chunk FROM c""",
+    "answers_with_shared_ids": f"""
+      WITH {HITS}, shared AS (
+        SELECT doc_id, {record_key("source", "NULL")} AS shared_id, title, url, sha256(concat_ws(chr(31), source, title, description,
+          coalesce(eligibility, ''), amount, coalesce(deadline, ''), url)) AS mark FROM records),
+      ranked AS (
+        SELECT question_id, shared_id, title, url, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, shared_id, mark) AS rank
+        FROM scored JOIN shared USING (doc_id))
+      SELECT question_id, rank, shared_id AS record_id, title, url FROM ranked WHERE rank <= 5""",
+    "chunk_retrieve_topk": f"""
+      WITH {QUESTIONS},
+      w AS (SELECT doc_id, [x FOR x IN string_split_regex(text, '\\s+') IF x <> ''] AS words FROM documents),
+      c AS (SELECT doc_id, words, unnest(range(greatest(len(words) - {CHUNK_SIZE - CHUNK_STEP} - 1, 0) // {CHUNK_STEP} + 1)) AS chunk_no
+            FROM w WHERE len(words) > 0),
+      qw AS (
+        SELECT question_id, term, count(*) AS q_count, count(*) OVER (PARTITION BY question_id) AS n_distinct
+        FROM (SELECT question_id, unnest({WORDS.format("text")}) AS term FROM questions) GROUP BY question_id, term),
+      cw AS (
+        SELECT doc_id, chunk_no, term, count(*) AS t_count FROM (
+          SELECT doc_id, chunk_no, unnest({WORDS.format(f"array_to_string(words[chunk_no * {CHUNK_STEP} + 1 : chunk_no * {CHUNK_STEP} + {CHUNK_SIZE}], ' ')")}) AS term
+          FROM c) GROUP BY ALL),
+      s AS (
+        SELECT question_id, doc_id, chunk_no, sum(q_count * t_count)::DOUBLE / any_value(n_distinct) AS score
+        FROM qw JOIN cw USING (term) GROUP BY ALL),
+      best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY score DESC, chunk_no) = 1)
+      SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank, doc_id::VARCHAR AS record_id,
+        doc_id AS ord, score, chunk_no FROM best QUALIFY rank <= 5""",
+    "cosine_guards": f"""
+      WITH {CENTROIDS} SELECT vec_id, CASE label % 4 WHEN 3 THEN round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) ELSE 0.0 END AS score
+      FROM embeddings JOIN centroids USING (label)""",
+    "raw_zone_files": f"""
+      WITH {FIELDS}, n AS ({NORMALIZED["ato"]})
+      SELECT CASE WHEN lang = 'fr' THEN {record_key("'ato'", "NULL")} ELSE record_id END AS record_id,
+        CASE WHEN lang <> 'fr' THEN n.title END AS title, CASE WHEN lang <> 'fr' THEN n.url END AS url, ingested_at
+      FROM n JOIN fields USING (doc_id)""",
+    "job_report": f"""
+      WITH {FIELDS}, n AS ({ALL_NORMALIZED}), counts AS (
+        SELECT source, count(*) AS n_records, count(DISTINCT record_id) AS n_current FROM n GROUP BY source)
+      SELECT source, '2026-11-02' AS run_date, stage, 'ok (' || n_records || ' records)' AS status, n_records, n_current, n_records AS n_processed
+      FROM counts, (VALUES ('ingest'), ('process')) v(stage)""",
+    "snapshot_upsert": f"""
+      WITH {FIELDS}, n AS ({NORMALIZED["grantconnect"]})
+      SELECT record_id, CASE WHEN length(description) >= 1000 THEN 'Crawl 2: ' ELSE '' END || title AS title, url FROM n""",
 }
+ORACLES["answer_questions_embedding"] = ORACLES["answer_questions_table"].replace(HITS, EMBEDDED_HITS)
+ORACLES["award_documents_of_both_kinds"] = f"""
+  SELECT page_id, url, title, 'html' AS document_type, nullif(substr(text, 1, 2000), '') AS raw_text_excerpt
+  FROM pages JOIN ({ORACLES["page_title"]}) USING (page_id) JOIN ({ORACLES["page_text_lines"]}) USING (page_id)
+  UNION ALL
+  SELECT doc_id, 'https://awards.example.org/' || doc_id || '.PDF', NULL, 'pdf', nullif(substr(text, 1, 2000), '') FROM documents"""

@@ -16,17 +16,19 @@ from grantlake.functions.typed import amount_value, deadline_date
 from grantlake.functions.urls import origin
 from grantlake.functions.vectors import cosine_similarity
 from grantlake.operators.dedup import first_wins, key_collisions, last_wins
-from grantlake.operators.embed import chunks, fill_embeddings
+from grantlake.operators.embed import VectorStore, chunks, fill_embeddings
 from grantlake.operators.fields import descriptions, labelled_fields, sections
 from grantlake.operators.joins import join_per_key
 from grantlake.operators.keyword_index import keyword_index_topk as index_topk
 from grantlake.operators.links import LinkRule, explode_links, hrefs, listing_links, page_links
 from grantlake.operators.normalize import normalize, normalize_source, record_json
 from grantlake.operators.rank import DEFAULT_TOP_K
-from grantlake.operators.retrieve import cosine_topk, keyword_scores, keyword_topk, term_frequencies
+from grantlake.operators.retrieve import chunk_topk, cosine_topk, keyword_scores, keyword_topk, term_frequencies
 from grantlake.operators.vector_index import VectorIndex, recall
-from grantlake.plans.answers import agents_used, answer_questions, prompts, questions_with_hits
+from grantlake.plans.answers import agents_used, answer_questions, answer_questions_by_embedding, prompts, questions_with_hits
+from grantlake.plans.jobs import run_ingest, run_process
 from grantlake.plans.payloads import (
+    award_documents,
     award_links,
     award_payloads,
     grant_payloads,
@@ -34,17 +36,19 @@ from grantlake.plans.payloads import (
     guidance_sections,
     program_payloads,
 )
+from grantlake.plans.snapshots import Snapshots
 from grantlake.registry import inputs
 from grantlake.registry.inputs import FETCHED_AT, table
 from grantlake.schemas import SOURCES
-from grantlake.session import stored
+from grantlake.session import new_folder, stored
 from grantlake.sources.ckan import dataset_payloads
 from grantlake.sources.pages import fetched, until_empty
-from grantlake.sources.zones import envelope, parse_raw_lines, raw_lines
+from grantlake.sources.zones import LINE_ORDER, envelope, parse_raw_lines, partition_path, raw_lines, read_processed, read_raw, write_raw
 from grantlake.streaming.incremental import changed
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
+RUN_DATE = "2026-11-02"
 
 
 def query(build: Query) -> Query:
@@ -198,6 +202,99 @@ def generated_answers(spark, sf_dir):
     return answers.select("question_id", "answer")
 
 
+@query
+def answers_with_shared_ids(spark, sf_dir):
+    """All records of a source share one id and none has a place, as pages without a natural key do."""
+    shared = inputs.document_records(spark, sf_dir).drop("ord").withColumn("record_id", record_id(F.col("source"), F.lit(None).cast("string")))
+    answers = answer_questions(inputs.user_questions(spark, sf_dir), shared)
+    cited = answers.select("question_id", F.posexplode("citations").alias("pos", "citation"))
+    return cited.select("question_id", (F.col("pos") + 1).alias("rank"), "citation.record_id", "citation.title", "citation.url")
+
+
+@query
+def answer_questions_embedding(spark, sf_dir):
+    """Answers ranked by vectors of letter counts; those of English records are in the store before."""
+
+    def letters(texts: pd.Series) -> pd.Series:
+        return pd.Series([[float(text.count(letter)) for letter in "aeinot"] for text in texts])
+
+    records = inputs.document_records(spark, sf_dir)
+    vectors = VectorStore(spark, new_folder(spark, "vectors"))
+    vectors.fill(records.where("lang = 'en'").select("record_id", "ord", record_text().alias("text")), letters)
+    answers = answer_questions_by_embedding(inputs.user_questions(spark, sf_dir), records, vectors, letters)
+    return answers.select("question_id", "classification", "answer", F.size("citations").alias("n_citations"), F.array_join("agents_used", ",").alias("agents_used"), "is_mock")
+
+
+@query
+def chunk_retrieve_topk(spark, sf_dir):
+    """Documents by their best chunk."""
+    doc = table(spark, sf_dir, "documents")
+    records = doc.select(F.col("doc_id").cast("string").alias("record_id"), F.col("doc_id").alias("ord"), "text")
+    return chunk_topk(inputs.user_questions(spark, sf_dir), records)
+
+
+@query
+def cosine_guards(spark, sf_dir):
+    """Vectors against the mean of their label: three of four labels have theirs emptied, cut short or set to zero."""
+    centroids = inputs.label_centroids(spark, sf_dir).withColumnRenamed("embedding", "mean")
+    kind, own = F.col("label") % 4, F.col("embedding").cast("array<double>")
+    spoilt = F.when(kind == 0, F.slice(own, 1, 0)).when(kind == 1, F.slice(own, 1, 10)).when(kind == 2, F.transform(own, lambda x: x * 0)).otherwise(own)
+    pairs = join_per_key(table(spark, sf_dir, "embeddings"), centroids, "label")
+    return pairs.select("vec_id", F.round(cosine_similarity(spoilt, F.col("mean")), 6).alias("score"))
+
+
+@query
+def raw_zone_files(spark, sf_dir):
+    """Documents as raw files of one source and date: French ones without a payload, Spanish ones after a blank line."""
+    root = new_folder(spark, "zone")
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    payloads = inputs.raw_payloads(spark, sf_dir, "ato").join(lang, "doc_id")
+    payload = F.when(F.col("lang") != "fr", F.col("payload")).otherwise("null")
+    write_raw(envelope(payloads.select(payload.alias("payload")), "ato", F.lit(FETCHED_AT)), root, "ato", RUN_DATE)
+    blank = lang.where("lang = 'es'").select(F.when(F.col("doc_id") % 2 == 0, " \t").otherwise("").alias("value"))
+    blank.write.mode("append").text(partition_path(root, "ato", RUN_DATE))
+    return normalize_source(read_raw(spark, root, "ato", RUN_DATE), "ato").select("record_id", "title", "url", "ingested_at")
+
+
+@query
+def job_report(spark, sf_dir):
+    """What the ingest and process jobs report over files they wrote, and how many records the snapshots hold."""
+    root = new_folder(spark, "jobs")
+    payloads = {s: lambda s=s: inputs.raw_payloads(spark, sf_dir, s).select("payload") for s in SOURCES}
+    snapshots = Snapshots(spark, f"{root}/snapshots")
+    reports = run_ingest(spark, payloads, f"{root}/raw", RUN_DATE).unionByName(
+        run_process(spark, f"{root}/raw", f"{root}/processed", snapshots, RUN_DATE)
+    )
+    held = snapshots.all_current().groupBy("source").agg(F.count(F.lit(1)).alias("n_current"))
+    read = read_processed(spark, f"{root}/processed").groupBy("source").agg(F.count(F.lit(1)).alias("n_processed"))
+    return reports.drop("error").join(held, "source").join(read, "source")
+
+
+@query
+def snapshot_upsert(spark, sf_dir):
+    """Two crawls into the snapshots, the second of the long documents alone, each twice with another title."""
+    snapshots = Snapshots(spark, new_folder(spark, "snapshots"))
+    records = normalize_source(_raw(spark, sf_dir, "grantconnect"), "grantconnect")
+    order = F.struct(F.lit("crawl").alias("file"), F.col("doc_id").alias("row"))
+    snapshots.upsert("grantconnect", records.withColumn(LINE_ORDER, order), "first")
+    again = records.where(F.length("description") >= 1000).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    titled = again.withColumn("title", F.concat(F.lit("Crawl "), F.col("n").cast("string"), F.lit(": "), F.col("title")))
+    later = titled.withColumn(LINE_ORDER, F.struct(F.lit("crawl").alias("file"), (2 * F.col("doc_id") + F.col("n")).alias("row")))
+    for _ in range(2):
+        snapshots.upsert("grantconnect", later, "second")
+    return snapshots.current("grantconnect").select("record_id", "title", "url")
+
+
+@query
+def award_documents_of_both_kinds(spark, sf_dir):
+    """Crawled pages as award pages, and documents as text already taken from PDF files."""
+    doc = table(spark, sf_dir, "documents")
+    url = F.concat(F.lit("https://awards.example.org/"), F.col("doc_id").cast("string"), F.lit(".PDF"))
+    pdf = doc.select(F.col("doc_id").alias("page_id"), url.alias("url"), "text")
+    payloads = award_payloads(award_documents(table(spark, sf_dir, "pages"), pdf))
+    return _payload_fields(payloads, "url", "title", "document_type", "raw_text_excerpt")
+
+
 @query
 def raw_envelope_roundtrip(spark, sf_dir):
     payload = F.to_json(F.struct("doc_id", "text", F.struct("lang", "n_chars").alias("about"))).alias("payload")
