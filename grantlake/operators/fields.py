@@ -1,159 +1,146 @@
-"""Labelled fields, descriptions and sections of detail pages."""
+"""Labelled fields, descriptions and sections of detail pages, read from the element tree in the scan."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grantlake.functions.text import non_empty
-from grantlake.operators.structure import OPEN, class_contains, elements, page_tokens
+from grantlake.operators.pagetree import LEAF, OPEN, PageTree, in_scan
 
 DESCRIPTION_CLASSES = ("description", "summary")
 TERM_TAGS = ("dt", "dd")
 CELL_TAGS = ("td", "th")
 SECTION_TAGS = ("h2", "h3")
 SECTION_ENDS = ("h1", "h2", "h3")
+MARKUP_OF_DETAILS = "(?i)<(?:d[td]|t[dh])\\b|" + "|".join(DESCRIPTION_CLASSES)
 
-DESCRIPTION, TERM, ROW = "description", "dl", "tr"
+DETAILS = T.StructType().add("description", T.StringType()).add("fields", T.MapType(T.StringType(), T.StringType()))
+SECTION = T.StructType().add("pos", T.IntegerType()).add("heading", T.StringType()).add("body", T.StringType())
+SECTIONS = T.StructType().add("sections", T.ArrayType(SECTION))
 
 
-def normal_label(text: Column) -> Column:
+def normal_label(text: str) -> str:
     """A label in comparable form: lower case, no colons at the end. The text is already stripped."""
-    return F.rtrim(F.lower(text), F.lit(":"))
+    return text.lower().rstrip(":")
 
 
-def _first_description(tokens: DataFrame) -> DataFrame:
-    """Mark the first element of each page whose class names a description or summary."""
-    hit = (F.col("kind") == OPEN) & class_contains(*DESCRIPTION_CLASSES)
-    first = F.min(F.when(hit, F.col("pos"))).over(Window.partitionBy("page_id"))
-    return tokens.withColumn("first_description", F.coalesce(F.col("pos") == first, F.lit(False)))
+def first_descriptions(tree: PageTree) -> np.ndarray:
+    """The first element of each page whose class names a description or summary; void elements count, and have no text."""
+    named = [i for i in np.flatnonzero((tree.kind == OPEN) | (tree.kind == LEAF)).tolist() if "=" in tree.token[i]]
+    named = [i for i in named if any(c in tree.class_of(i) for c in DESCRIPTION_CLASSES)]
+    at = np.array(named, np.int64)
+    return at[np.unique(tree.page[at], return_index=True)[1]] if len(at) else at
 
 
-def descriptions(pages: DataFrame) -> DataFrame:
-    """``page_id, description`` for pages that have a non-empty one."""
-    likely = pages.where(F.col("html").rlike("(?i)class\\s*=") & F.col("html").rlike("|".join(DESCRIPTION_CLASSES)))
-    tokens = _first_description(page_tokens(likely))
-    found = elements(tokens, F.col("first_description"))
-    return found.select("page_id", non_empty(F.col("text")).alias("description")).where(F.col("description").isNotNull())
+def _siblings(tree: PageTree, elements: np.ndarray) -> list[list[int]]:
+    """The elements in groups of one page, level and parent, each in page order."""
+    key = (tree.page[elements], tree.level[elements], tree.parents(elements))
+    order = np.lexsort((elements, *key[::-1]))
+    groups: list[list[int]] = []
+    before = None
+    for i, *own in zip(elements[order].tolist(), *(k[order].tolist() for k in key)):
+        if own != before:
+            groups.append([])
+            before = own
+        groups[-1].append(i)
+    return groups
 
 
-def detail_values(pages: DataFrame) -> DataFrame:
-    """Everything labelled on a page: ``page_id, kind, label, value, pos``.
+def read_details(tree: PageTree, n_pages: int) -> list[tuple]:
+    """Description and labelled fields of every page.
 
-    - ``dl``: each term with the next ``dd`` among its siblings;
-    - ``tr``: rows of exactly two cells, both non-empty;
-    - ``description``: the first description block, with a null label.
+    Each term goes with the next `dd` among its siblings, and the last one of a label counts. Rows of exactly two cells, both
+    not empty, fill labels that no term has, and the first one counts.
     """
-    marks = "(?i)<(?:d[td]|t[dh])\\b|" + "|".join(DESCRIPTION_CLASSES)
-    tokens = _first_description(page_tokens(pages.where(F.col("html").rlike(marks))))
-    tag, text = F.col("tag"), F.col("text")
-    cell = tag.isin(*CELL_TAGS)
-    found = elements(
-        tokens,
-        wanted=tag.isin(*TERM_TAGS, *CELL_TAGS) | F.col("first_description"),
-        box=tag == "tr",
-        boxed=cell,
-    )
-
-    # Each element joins the groups it is read in: its siblings, its table rows, the descriptions.
-    def group(kind: str, a: Column, b: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"))
-
-    none = F.array().cast("array<struct<kind:string,a:int,b:int>>")
-    zero = F.lit(0)
-    groups = F.concat(
-        F.when(tag.isin(*TERM_TAGS), F.array(group(TERM, F.col("level"), F.coalesce("parent", F.lit(-1))))).otherwise(none),
-        F.when(cell, F.transform("boxes", lambda row: group(ROW, row, zero))).otherwise(none),
-        F.when(class_contains(*DESCRIPTION_CLASSES), F.array(group(DESCRIPTION, zero, zero))).otherwise(none),
-    )
-    grouped = found.select("page_id", "pos", "tag", "text", F.explode(groups).alias("group"))
-    backwards = Window.partitionBy("page_id", "group").orderBy(F.desc("pos"))
-    after = backwards.rowsBetween(Window.unboundedPreceding, -1)
-    whole = backwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    read = grouped.select(
-        "page_id",
-        "pos",
-        "tag",
-        "text",
-        "group",
-        F.last(F.when(tag == "dd", text), ignorenulls=True).over(after).alias("next_dd"),
-        F.lag("text").over(backwards).alias("next_cell"),
-        F.count(F.lit(1)).over(whole).alias("n_members"),
-        F.min("pos").over(whole).alias("first_pos"),
-    )
-    kind, label = F.col("group.kind"), normal_label(text)
-    is_term = (kind == TERM) & (tag == "dt") & F.col("next_dd").isNotNull()
-    is_row = (kind == ROW) & (F.col("n_members") == 2) & (label != "") & (F.col("next_cell") != "")
-    is_description = (kind == DESCRIPTION) & (F.col("pos") == F.col("first_pos"))
-    return read.where(is_term | is_row | is_description).select(
-        "page_id",
-        kind.alias("kind"),
-        F.when(kind != DESCRIPTION, label).alias("label"),
-        F.when(kind == TERM, F.col("next_dd")).when(kind == ROW, F.col("next_cell")).otherwise(text).alias("value"),
-        F.when(kind == ROW, F.col("group.a")).otherwise(F.col("pos")).alias("pos"),
-    )
-
-
-def settle_labels(values: DataFrame) -> DataFrame:
-    """One value per (page, label): the last term wins, table rows only fill gaps and the first row wins."""
-    kind, value, pos = F.col("kind"), F.col("value"), F.col("pos")
-    return (
-        values.groupBy("page_id", "label")
-        .agg(
-            F.max_by(F.when(kind == TERM, value), F.when(kind == TERM, pos)).alias("term"),
-            F.min_by(F.when(kind == ROW, value), F.when(kind == ROW, pos)).alias("row"),
-            F.max(F.when(kind == DESCRIPTION, value)).alias("description"),
-        )
-        .select("page_id", "label", F.coalesce("term", "row").alias("value"), "description")
-    )
+    terms, values, cells = tree.tagged(*TERM_TAGS), tree.tagged("dd"), tree.tagged(*CELL_TAGS)
+    described = first_descriptions(tree)
+    picked = terms | cells
+    picked[described[tree.kind[described] == OPEN]] = True
+    text = tree.texts(picked)
+    fields: list[dict[str, str]] = [{} for _ in range(n_pages)]
+    last: dict[tuple[int, str], int] = {}
+    for group in _siblings(tree, np.flatnonzero(terms)):
+        value = None
+        for i in reversed(group):
+            if values[i]:
+                value = text[i]
+            elif value is not None:
+                key = (int(tree.page[i]), normal_label(text[i]))
+                if i > last.get(key, -1):
+                    last[key] = i
+                    fields[key[0]][key[1]] = value
+    rows: dict[int, list[int]] = {}
+    for row, cell in tree.holders(np.flatnonzero(cells), tree.tagged("tr")):
+        rows.setdefault(row, []).append(cell)
+    for row in sorted(rows):
+        if len(rows[row]) == 2:
+            label, value = (text[i] for i in sorted(rows[row]))
+            label = normal_label(label)
+            if label and value:
+                fields[tree.page[row]].setdefault(label, value)
+    descriptions = {int(tree.page[i]): text.get(i) or None for i in described.tolist()}
+    return [(descriptions.get(n), list(fields[n].items())) for n in range(n_pages)]
+
+
+def with_details(pages: DataFrame) -> DataFrame:
+    """`pages` without its html, with `description` (null if empty) and `fields`, a label to value map, for every page."""
+    return in_scan(pages, DETAILS, read_details)
+
+
+def descriptions(pages: DataFrame) -> DataFrame:
+    """``page_id, description`` for pages that have a non-empty one."""
+    likely = pages.where(F.col("html").rlike("(?i)class\\s*=") & F.col("html").rlike("|".join(DESCRIPTION_CLASSES)))
+    found = with_details(likely.select("page_id", "html"))
+    return found.select("page_id", non_empty(F.col("description")).alias("description")).where("description IS NOT NULL")
 
 
 def labelled_fields(pages: DataFrame) -> DataFrame:
     """``page_id, label, value`` of detail pages."""
-    return settle_labels(detail_values(pages)).where(F.col("label").isNotNull()).select("page_id", "label", "value")
+    likely = pages.where(F.col("html").rlike(MARKUP_OF_DETAILS)).select("page_id", "html")
+    return with_details(likely).select("page_id", F.explode("fields").alias("label", "value"))
+
 
+def read_sections(tree: PageTree, n_pages: int) -> list[tuple]:
+    """The sections of every page: each heading with the text of its following siblings, up to the next h1, h2 or h3 among them.
 
-def page_details(pages: DataFrame) -> DataFrame:
-    """One row per page that has any: ``page_id, description, fields`` (a label to value map)."""
-    entry = F.when(F.col("label").isNotNull(), F.struct("label", "value"))
-    return (
-        settle_labels(detail_values(pages))
-        .groupBy("page_id")
-        .agg(
-            non_empty(F.max("description")).alias("description"),
-            F.map_from_entries(F.collect_list(entry)).alias("fields"),
-        )
-    )
+    Headings without text or body are dropped; of equal headings the last body counts, at the place of the first.
+    """
+    found: list[dict[str, list]] = [{} for _ in range(n_pages)]
+    heads, ends = tree.tagged(*SECTION_TAGS), tree.tagged(*SECTION_ENDS)
+    levels = {(p, n) for p, n in zip(tree.page[heads].tolist(), tree.level[heads].tolist())}
+    beside = np.flatnonzero((tree.kind == OPEN) & np.isin(tree.level, tree.level[heads]))
+    beside = beside[np.array([x in levels for x in zip(tree.page[beside].tolist(), tree.level[beside].tolist())], bool)]
+    # Only groups that hold a heading matter.
+    groups = [g for g in _siblings(tree, beside) if heads[g].any()]
+    picked = np.zeros(len(tree), bool)
+    for group in groups:
+        picked[group] = True
+    text = tree.texts(picked)
+    parts: list[tuple[int, str, str]] = []
+    for group in groups:
+        head, bodies = None, []
+        for i in [*group, None]:
+            if i is None or ends[i]:
+                if head is not None and heads[head] and text[head] and bodies:
+                    parts.append((head, text[head], " ".join(bodies)))
+                head, bodies = i, []
+            elif text[i]:
+                bodies.append(text[i])
+    for pos, heading, body in sorted(parts):
+        own = found[tree.page[pos]].setdefault(heading, [pos - int(tree.begins[pos]), heading, body])
+        own[2] = body
+    return [(sorted(map(tuple, own.values())),) for own in found]
+
+
+def with_sections(pages: DataFrame) -> DataFrame:
+    """`pages` without its html, with `sections`, an array of pos, heading and body in page order, for every page."""
+    return in_scan(pages, SECTIONS, read_sections)
 
 
 def sections(pages: DataFrame) -> DataFrame:
-    """``page_id, pos, heading, body``: each heading with the text of its following siblings.
-
-    A section ends at the next h1, h2 or h3 sibling. Headings without text or body are dropped; of equal
-    headings the last body counts, at the place of the first.
-    """
-    headed = pages.where(F.col("html").rlike("(?i)<h[23]\\b"))
-    tag, text = F.col("tag"), F.col("text")
-    found = elements(page_tokens(headed), wanted=tag.isin(*SECTION_TAGS), siblings=True)
-    siblings = Window.partitionBy("page_id", "level", "parent").orderBy("pos")
-    island = F.count(F.when(tag.isin(*SECTION_ENDS), 1)).over(siblings)
-    member = F.when(~tag.isin(*SECTION_ENDS) & (text != ""), F.struct("pos", "text"))
-    return (
-        found.withColumn("island", island)
-        .where(F.col("island") > 0)
-        .groupBy("page_id", "level", "parent", "island")
-        .agg(
-            F.min(F.when(tag.isin(*SECTION_ENDS), F.struct("pos", "tag", "text"))).alias("head"),
-            F.array_sort(F.collect_list(member)).alias("members"),
-        )
-        .where(F.col("head.tag").isin(*SECTION_TAGS) & (F.col("head.text") != "") & (F.size("members") > 0))
-        .select(
-            "page_id",
-            F.col("head.pos").alias("pos"),
-            F.col("head.text").alias("heading"),
-            F.array_join(F.transform("members", lambda member: member["text"]), " ").alias("body"),
-        )
-        .groupBy("page_id", "heading")
-        .agg(F.min("pos").alias("pos"), F.max_by("body", "pos").alias("body"))
-        .select("page_id", "pos", "heading", "body")
-    )
+    """``page_id, pos, heading, body``: each heading with the text of its following siblings."""
+    headed = pages.where(F.col("html").rlike("(?i)<h[23]\\b")).select("page_id", "html")
+    return with_sections(headed).select("page_id", F.inline("sections"))

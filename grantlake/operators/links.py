@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grantlake.functions.html import ANCHOR_HREF, unquote, visible
 from grantlake.functions.urls import resolve
+from grantlake.operators.pagetree import OPEN, PageTree
+
+
+INSIDE = T.StructType().add("inside", T.ArrayType(T.StringType()))
 
 
 @dataclass(frozen=True)
@@ -72,6 +78,18 @@ def explode_links(listing: DataFrame, links: Column) -> DataFrame:
     )
 
 
+def read_hrefs_inside(tree: PageTree, n_pages: int, class_name: str) -> list[tuple]:
+    """The distinct link targets of every page that stand inside an element whose class lists exactly `class_name`."""
+    boxes = np.zeros(len(tree), bool)
+    boxes[[i for i in np.flatnonzero(tree.kind == OPEN) if class_name in tree.token[i] and class_name in tree.class_of(i).split()]] = True
+    inside: list[set[str]] = [set() for _ in range(n_pages)]
+    for _, anchor in tree.holders(np.flatnonzero(tree.tagged("a")), boxes):
+        href = tree.href_of(anchor)
+        if href:
+            inside[tree.page[anchor]].add(href)
+    return [(sorted(hrefs),) for hrefs in inside]
+
+
 def listing_links(listing: DataFrame, source: str, cap: int | None = None) -> DataFrame:
     """Links of a source's listing pages ``(page_id, html)``; not for rules that look at containers."""
     rule = LINK_RULES[source]

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantlake.functions.html import attribute, page_text, title
+from grantlake.functions.html import page_text, title
 from grantlake.functions.labels import topic_labels
 from grantlake.functions.payrates import pay_rates
 from grantlake.functions.text import excerpt, non_empty
 from grantlake.functions.urls import resolve
-from grantlake.operators.fields import page_details, sections
-from grantlake.operators.links import LINK_RULES, explode_links, page_links
-from grantlake.operators.structure import elements, has_class, page_tokens
+from grantlake.operators.fields import with_details, with_sections
+from grantlake.operators.links import INSIDE, LINK_RULES, explode_links, page_links, read_hrefs_inside
+from grantlake.operators.pagetree import in_scan
 
 PDF_SUFFIX = ".pdf"
 
@@ -33,9 +33,7 @@ def _labelled(*labels: str) -> Column:
 
 
 def _with_details(pages: DataFrame) -> DataFrame:
-    heads = pages.select("page_id", "url", title(F.col("html")).alias("title"))
-    details = heads.join(page_details(pages), "page_id", "left")
-    return details.withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
+    return with_details(pages.select("page_id", "url", title(F.col("html")).alias("title"), "html"))
 
 
 def grant_payloads(pages: DataFrame) -> DataFrame:
@@ -69,13 +67,7 @@ def program_payloads(pages: DataFrame) -> DataFrame:
 
 def guidance_sections(pages: DataFrame) -> DataFrame:
     """``page_id, url, title, sections, topics`` of guidance pages; sections in page order."""
-    found = sections(pages).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "heading", "body"))).alias("sections")
-    )
-    heads = pages.select("page_id", "url", title(F.col("html")).alias("title"))
-    joined = heads.join(found, "page_id", "left")
-    none = F.array().cast(found.schema["sections"].dataType)
-    joined = joined.withColumn("sections", F.coalesce("sections", none))
+    joined = with_sections(pages.select("page_id", "url", title(F.col("html")).alias("title"), "html"))
     bodies = F.array_join(F.transform("sections", lambda section: section["body"]), " ")
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), bodies)
     return joined.withColumn("topics", topic_labels(text))
@@ -123,28 +115,10 @@ def award_payloads(documents: DataFrame) -> DataFrame:
 
 
 def award_links(listing: DataFrame, base: Column | None = None) -> DataFrame:
-    """Document links of award search pages: any link to a PDF, and any link inside the results block.
-
-    Pages without a results block never reach the structure step.
-    """
+    """Document links of award search pages: any link to a PDF, and any link inside the results block. One scan, no shuffle."""
     rule = LINK_RULES["fair_work_mapd"]
     origin = F.lit(rule.base) if base is None else base
-    pages = listing.withColumn("base", origin)
-    pdf_links = page_links(F.col("html"), F.col("base"), rule)
-    boxed = pages.where(F.contains(F.col("html"), F.lit(rule.container_class)))
-    anchors = elements(
-        page_tokens(boxed),
-        wanted=F.lit(False),
-        box=has_class(rule.container_class),
-        boxed=F.col("tag") == "a",
-    )
-    inside = (
-        anchors.select("page_id", attribute(F.col("token"), "href").alias("href"))
-        .where(F.col("href") != "")
-        .groupBy("page_id")
-        .agg(F.collect_set("href").alias("inside"))
-    )
-    none = F.array().cast("array<string>")
-    both = pages.select("page_id", "base", pdf_links.alias("links")).join(inside, "page_id", "left")
-    resolved = F.transform(F.coalesce("inside", none), lambda href: resolve(href, F.col("base")))
+    pages = listing.select("page_id", origin.alias("base"), page_links(F.col("html"), origin, rule).alias("links"), "html")
+    both = in_scan(pages, INSIDE, lambda tree, n_pages: read_hrefs_inside(tree, n_pages, rule.container_class))
+    resolved = F.transform("inside", lambda href: resolve(href, F.col("base")))
     return explode_links(both, F.array_sort(F.array_union("links", resolved)))

@@ -371,6 +371,8 @@ ORACLES: dict[str, str] = {
     "page_links_resolved": links(HREFS, "pages", "regexp_extract(page_url, '^(https?://[^/?#]+)', 1) || h"),
     "page_description": f"""
       SELECT doc_id AS page_id, lang || ':' || {strip("text")} AS description FROM documents""",
+    "page_description_of_leaves": f"""
+      SELECT doc_id AS page_id, {strip("text")} AS description FROM documents WHERE lang <> 'es' AND {strip("text")} <> ''""",
     "links_grant_listing": links(
         f"[h FOR h IN {HREFS} IF starts_with(h, '/th')]", "pages", "'https://www.grants.gov.au/Go/Show?GoUuid=' || substr(h, 2)"
     ),

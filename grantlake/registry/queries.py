@@ -451,6 +451,15 @@ def page_description(spark, sf_dir):
     return descriptions(doc.select(F.col("doc_id").alias("page_id"), html.alias("html")))
 
 
+@query
+def page_description_of_leaves(spark, sf_dir):
+    """Spanish pages have an empty element of a summary class before their description."""
+    doc = table(spark, sf_dir, "documents")
+    leaf = F.when(F.col("lang") == "es", '<img alt="" class="page-summary">').otherwise('<hr class="rule">')
+    html = F.concat(F.lit("<body>"), leaf, F.lit('<div class="description">'), inputs.escape_html(F.col("text")), F.lit("</div>"))
+    return descriptions(doc.select(F.col("doc_id").alias("page_id"), html.alias("html")))
+
+
 @query
 def links_grant_listing(spark, sf_dir):
     return listing_links(inputs.listing_pages(spark, sf_dir, "Go/Show?GoUuid=", "/Go/List"), "grantconnect")

@@ -1,12 +1,14 @@
 """Page structure: labelled fields, sections, descriptions, links and payloads."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from grantlake.operators import fields
 from grantlake.operators.links import listing_links
+from grantlake.operators.pagetree import PageTree
 from grantlake.plans import payloads
 from grantlake.sources.pages import fetched, listing_pages, until_empty
 
@@ -161,7 +163,53 @@ def test_status_and_paging(spark):
         listing_pages(df).select("status").collect()
 
 
-def test_structure_takes_one_shuffle_and_no_python(spark):
-    text = fields.labelled_fields(pages(spark, "<dl><dt>a<dd>b</dl>"))._jdf.queryExecution().executedPlan().toString()
-    assert text.count("Exchange ") == 1
-    assert "EvalPython" not in text and "InArrow" not in text and "InPandas" not in text
+def test_structure_takes_no_shuffle_and_one_scan(spark):
+    page = pages(spark, "<h1>T</h1><dl><dt>a<dd>b</dl><h2>S</h2><p>x").repartition(2).cache()
+    plans = [fields.labelled_fields(page), fields.descriptions(page), fields.sections(page), payloads.grant_payloads(page),
+             payloads.guidance_payloads(page), payloads.award_links(page)]
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert text.count("MapInArrow ") == 1 and "EvalPython" not in text and "Join" not in text
+        # The pages are dealt out once, because these few would keep one core busy; no key is shuffled by.
+        assert text.count("InMemoryTableScan") == 1 and "hashpartitioning" not in text.split("InMemoryTableScan")[0]
+
+
+def test_void_elements_count_as_descriptions(spark):
+    found = fields.descriptions(
+        pages(
+            spark,
+            '<img class="summary-icon"><div class="description">Real</div>',
+            '<div class="summary"/><p class="summary">late</p>',
+            '<br class="x"><p class="summary">text</p>',
+            "<p class='a&#32;summary'>coded</p>",
+        )
+    )
+    assert {r.page_id: r.description for r in found.collect()} == {2: "text", 3: "coded"}
+
+
+def test_trees_of_many_pages_do_not_mix():
+    one = "<div><p>a<p>b<ul><li>c<li>d</ul></div><b>x<table><tr><td>e<td>f</table>"
+    alone = PageTree([one])
+    many = PageTree([None, one, "", "<p>", one, "</p></li>", one])
+    for number in (1, 4, 6):
+        own = many.page == number
+        assert many.level[own].tolist() == alone.level.tolist()
+        assert [t for t, o in zip(many.text, own) if o] == alone.text
+    assert len(PageTree([])) == 0 and len(PageTree([None, ""])) == 0
+
+
+def test_large_pages_take_linear_time():
+    rows = "".join(f"<tr><td>k{i}<td>v{i}</tr>" for i in range(20_000))
+    html = f"<table>{rows}</table><dl>" + "".join(f"<dt>t{i}<dd>w{i}" for i in range(20_000)) + "</dl>"
+    began = time.perf_counter()
+    ((description, found),) = fields.read_details(PageTree([html]), 1)
+    assert description is None and len(found) == 40_000 and dict(found)["t19999"] == "w19999"
+    assert time.perf_counter() - began < 20
+
+
+def test_award_labels_equal_pages_by_themselves(spark):
+    """Batches of one page and of many give the same rows."""
+    html = [f"<dl><dt>A{i}<dd>{i}</dl><table><tr><th>B<td>{i}</table>" * (i % 3) for i in range(40)]
+    together = {(r.page_id, r.label, r.value) for r in fields.labelled_fields(pages(spark, *html).coalesce(1)).collect()}
+    single = {(i, label, value) for i, h in enumerate(html) for label, value in fields.read_details(PageTree([h]), 1)[0][1]}
+    assert together == single
