@@ -191,10 +191,15 @@ def _short_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     return _by_language(batches, count)
 
 
-def pair_bits(lang: str, pairs: list[bytes], n_bits: int) -> np.ndarray:
-    """Both bits of each pair, as `screen` sets them (Spark's xxhash64 of language and phrase)."""
+def word_marks(lang: str, words: list[bytes]) -> np.ndarray:
+    """Hashes of words, as `screen` takes them (Spark's xxhash64 of language and word)."""
     seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    hashes = np.array([xxhash.xxh64_intdigest(p, seed) for p in pairs], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+
+
+def pair_bits(first: np.ndarray, second: np.ndarray, n_bits: int) -> np.ndarray:
+    """Both bits of pairs of words with these hashes."""
+    hashes = first ^ (second << np.uint64(1))
     return np.stack([hashes % np.uint64(n_bits), (hashes >> np.uint64(32)) % np.uint64(n_bits)])
 
 
@@ -205,7 +210,8 @@ def screen(pairs: DataFrame) -> np.ndarray:
     many more pairs than bits everything passes.
     """
     n_bits = min(MAX_BITS, max(64, 1 << (BITS_PER_PAIR * pairs.count()).bit_length()))
-    mask, h = F.lit(n_bits - 1).cast("long"), F.xxhash64("lang", "phrase")
+    first, second = (F.xxhash64("lang", F.substring_index("phrase", " ", i)) for i in (1, -1))
+    mask, h = F.lit(n_bits - 1).cast("long"), first.bitwiseXOR(F.shiftleft(second, 1))
     bits = pairs.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask))).alias("bit"))
     one = F.expr("shiftleft(1L, cast(bit & 63 AS int))")
     words = bits.groupBy(F.expr("shiftright(bit, 6)").cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
@@ -233,8 +239,8 @@ def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
             # Pairs of the overlap take part, because they are within phrases that begin before it.
             two = np.flatnonzero(found.left >= 2)
             keys, ranks = np.unique(found.ids[two] * len(found.words) + found.ids[two + 1], return_inverse=True)
-            pairs = [found.words[a] + b" " + found.words[b] for a, b in zip(*(k.tolist() for k in divmod(keys, len(found.words))))]
-            bits = pair_bits(lang, pairs, 64 * len(table.value))
+            marks = word_marks(lang, found.words)
+            bits = pair_bits(*(marks[i] for i in divmod(keys, len(found.words))), 64 * len(table.value))
             passed = ((table.value[bits >> np.uint64(6)] >> (bits & np.uint64(63))) & np.uint64(1)).all(axis=0)
             # The rank of the pair that begins at each word, -1 where it is not frequent.
             rank = np.full(len(found.ids) + MOST_WORDS, -1, np.int64)

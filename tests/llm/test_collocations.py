@@ -78,10 +78,11 @@ def test_equal_passages_give_equal_chunks():
 
 
 def test_screen_has_the_hashes_of_the_tasks(spark):
-    pairs = [("en", "a b"), ("é", "ü 𝔘"), ("", "x y"), ("und", "long " * 40 + "er")]
+    pairs = [("en", "a b"), ("é", "ü 𝔘"), ("", "x y"), ("und", "l" * 300 + " er")]
     table = collocations.screen(spark.createDataFrame(pairs, "lang string, phrase string"))
     for lang, phrase in pairs:
-        bits = collocations.pair_bits(lang, [phrase.encode()], 64 * len(table))[:, 0]
+        first, second = (collocations.word_marks(lang, [w.encode()]) for w in phrase.split(" "))
+        bits = collocations.pair_bits(first, second, 64 * len(table))[:, 0]
         assert all(int(table[int(b) >> 6]) >> (int(b) & 63) & 1 for b in bits)
     assert sum(int(v).bit_count() for v in table) <= 2 * len(pairs)
 
