@@ -49,6 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def filed(df: DataFrame, name: str) -> DataFrame:
+    """As `cut`, for wide rows: written as compressed Parquet to a new folder of the shared one, and read from there."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of `df` is called so."""
     taken = {c.lower() for c in df.columns}
