@@ -15,13 +15,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlake.llm.common import new_folder
+from grantlake.llm.common import filed, new_folder
 from grantlake.session import bound_batches
 
 # Index lines in one compressed block.
 BLOCK_LINES = 1000
 # Bytes after which a writing task starts a new archive file.
 FILE_BYTES = 256 * 1024 * 1024
+# Archive bytes that one reading task is meant for, and the most tasks of a read.
+READ_BYTES, MOST_READERS = 16 * 1024 * 1024, 200_000
 DATE = "1970-01-01T00:00:00Z"
 INDEX_SCHEMA = "key string, page_id long, file string, offset long, length long"
 # The smallest payload that may be replaced by a reference to an equal one.
@@ -155,13 +157,15 @@ def write_index(entries: DataFrame, folder: str) -> list[tuple[str, str, str]]:
             file.write(json.dumps(directory).encode())
         yield pa.RecordBatch.from_pydict({"first": [directory[0][0]], "last": [directory[-1][1]], "name": [name]})
 
-    ordered = entries.repartitionByRange("key").sortWithinPartitions("key", "page_id", "file", "offset")
+    # By whole entries, so that the captures of one URL may fill many ranges.
+    order = ("key", "page_id", "file", "offset")
+    ordered = entries.repartitionByRange(*order).sortWithinPartitions(*order)
     parts = ordered.mapInArrow(write, "first string, last string, name string").collect()
     return sorted((p["first"], p["last"], p["name"]) for p in parts)
 
 
 class Index:
-    """Looks keys up: the ranges, the directory of a range, then one block. The last of each is kept."""
+    """Looks keys up in the ranges of an index: the directory of a range, then its blocks. The last of each is kept."""
 
     def __init__(self, folder: str, ranges: list[tuple[str, str, str]]) -> None:
         self.system, self.root = _filesystem(folder)
@@ -169,28 +173,30 @@ class Index:
         self.directory: tuple[str, list, list] = ("", [], [])
         self.block: tuple[tuple, list, list] = ((), [], [])
 
-    def lookup(self, key: str) -> list[list]:
-        """All entries of a key: [key, page_id, file, offset, length]."""
-        found = []
+    def ranges_of(self, key: str) -> Iterator[str]:
+        """The names of the ranges that can hold a key; the captures of one URL may fill several."""
         for first, _, name in self.ranges[bisect_left(self.lasts, key) :]:
             if first > key:
                 break
-            if self.directory[0] != name:
-                with self.system.open_input_stream(f"{self.root}/{name}.blocks", compression=None) as file:
-                    blocks = json.loads(file.read())
-                self.directory = (name, blocks, [b[1] for b in blocks])
-            _, blocks, lasts = self.directory
-            for start, _, at, length in blocks[bisect_left(lasts, key) :]:
-                if start > key:
-                    break
-                if self.block[0] != (name, at):
-                    with self.system.open_input_file(f"{self.root}/{name}.index") as file:
-                        file.seek(at)
-                        lines = [json.loads(line) for line in gzip.decompress(file.read(length)).split(b"\n")]
-                    self.block = ((name, at), lines, [line[0] for line in lines])
-                _, lines, keys = self.block
-                found += lines[bisect_left(keys, key) : bisect_right(keys, key)]
-        return found
+            yield name
+
+    def lookup(self, key: str, name: str) -> Iterator[list[list]]:
+        """The entries of a key in a range, block by block: [key, page_id, file, offset, length]."""
+        if self.directory[0] != name:
+            with self.system.open_input_stream(f"{self.root}/{name}.blocks", compression=None) as file:
+                blocks = json.loads(file.read())
+            self.directory = (name, blocks, [b[1] for b in blocks])
+        _, blocks, lasts = self.directory
+        for start, _, at, length in blocks[bisect_left(lasts, key) :]:
+            if start > key:
+                break
+            if self.block[0] != (name, at):
+                with self.system.open_input_file(f"{self.root}/{name}.index") as file:
+                    file.seek(at)
+                    lines = [json.loads(line) for line in gzip.decompress(file.read(length)).split(b"\n")]
+                self.block = ((name, at), lines, [line[0] for line in lines])
+            _, lines, keys = self.block
+            yield lines[bisect_left(keys, key) : bisect_right(keys, key)]
 
 
 class Archive:
@@ -211,40 +217,67 @@ class Archive:
         write_records(pages, f"{folder}/records").write.parquet(entries)
         return cls(spark, folder, write_index(spark.read.parquet(entries), f"{folder}/index"))
 
+    def entries(self, keys: DataFrame) -> DataFrame:
+        """`key, page_id, file, offset, length`: the index entries of the distinct `key`s.
+
+        A key is asked of each range that can hold it, and ranges are dealt to tasks, so that one URL with very many captures is
+        looked up by many. Within a task keys are sorted, so it walks through neighbouring blocks.
+        """
+        folder, ranges = f"{self.folder}/index", self.ranges
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(folder, ranges)
+            for batch in batches:
+                found = [(key, name) for key in batch.column("key").to_pylist() if key is not None for name in index.ranges_of(key)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in zip(*found)], ["key", "range"])
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(folder, ranges)
+            for batch in batches:
+                for key, name in zip(batch.column("key").to_pylist(), batch.column("range").to_pylist()):
+                    yield from (_index_batch(rows) for rows in index.lookup(key, name) if rows)
+
+        placed = keys.select("key").distinct().mapInArrow(place, "key string, range string")
+        dealt = placed.repartition(max(1, min(len(ranges), MOST_READERS)), "range").sortWithinPartitions("range", "key")
+        return dealt.mapInArrow(look, INDEX_SCHEMA)
+
     def read(self, keys: DataFrame) -> DataFrame:
         """`key, page_id, payload, payload_bytes, payload_digest, record_type, refers_to` of all captures of the distinct `key`s.
 
-        Keys are sorted in ranges, so that a task walks through neighbouring blocks; records are read by range.
+        Entries are dealt to tasks by the bytes of their records, in the order of the archives, where they are read by range.
         """
-        folder, ranges = self.folder, self.ranges
+        folder = self.folder
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, (system, root) = Index(f"{folder}/index", ranges), _filesystem(f"{folder}/records")
+            system, root = _filesystem(f"{folder}/records")
             files: dict[str, fs.NativeFile] = {}
             for batch in batches:
                 rows: list[tuple] = []
                 size = 0
-                for key in batch.column("key").to_pylist():
-                    for _, page_id, name, offset, length in index.lookup(key):
-                        if name not in files:
-                            if len(files) >= 64:
-                                files.pop(next(iter(files))).close()
-                            files[name] = system.open_input_file(f"{root}/{name}")
-                        files[name].seek(offset)
-                        headers, payload = parse(files[name].read(length))
-                        refers = headers.get("WARC-Refers-To-Page-ID")
-                        rows.append((
-                            key, page_id, payload if refers is None else None, int(headers["WARC-Payload-Length"]),
-                            headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"], refers and int(refers),
-                        ))
-                        size += len(payload)
-                        if size > 4_000_000 or len(rows) >= 1000:
-                            yield _record_batch(rows)
-                            rows, size = [], 0
+                for key, page_id, name, offset, length in zip(*[column.to_pylist() for column in batch.columns]):
+                    if name not in files:
+                        if len(files) >= 64:
+                            files.pop(next(iter(files))).close()
+                        files[name] = system.open_input_file(f"{root}/{name}")
+                    files[name].seek(offset)
+                    headers, payload = parse(files[name].read(length))
+                    refers = headers.get("WARC-Refers-To-Page-ID")
+                    rows.append((
+                        key, page_id, payload if refers is None else None, int(headers["WARC-Payload-Length"]),
+                        headers["WARC-Payload-Digest"].removeprefix("sha1:"), headers["WARC-Type"], refers and int(refers),
+                    ))
+                    size += len(payload)
+                    if size > 4_000_000 or len(rows) >= 1000:
+                        yield _record_batch(rows)
+                        rows, size = [], 0
                 if rows:
                     yield _record_batch(rows)
 
-        asked = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+        found = filed(self.entries(keys), "entries")
+        n_bytes = found.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        n_parts = max(1, min(-(-n_bytes // READ_BYTES), MOST_READERS))
+        asked = found.repartitionByRange(n_parts, "file", "offset").sortWithinPartitions("file", "offset")
         schema = "key string, page_id long, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
         return asked.mapInArrow(read, schema)
 

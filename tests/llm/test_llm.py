@@ -575,3 +575,21 @@ def test_pipeline(spark):
     pieces = packing.token_pieces(mixed).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == {r.doc_id: r.n for r in pieces}
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
+
+
+def test_archive_of_one_url_is_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(archive, "READ_BYTES", 2_000)
+    monkeypatch.setattr(archive, "BLOCK_LINES", 16)
+    rows = [(i, "http://hot.org/" if i % 3 else f"http://h{i}.org/", f"page {i} " + words(i, 60)) for i in range(600)]
+    # These few entries would be merged into one range of the index.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    kept = archive.Archive.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(first <= "org,hot)/" <= last for first, last, _ in kept.ranges) > 1
+    asked = spark.createDataFrame([("org,hot)/",), (None,)], "key string")
+    found = kept.read(asked)
+    assert found.rdd.getNumPartitions() > 8
+    parts = found.select("page_id", F.spark_partition_id().alias("part")).groupBy("part").count().collect()
+    assert len(parts) > 8 and max(r["count"] for r in parts) < 100
+    assert sorted(r.page_id for r in found.collect()) == [i for i in range(600) if i % 3]
+    assert kept.read(kept.keys()).count() == 600
