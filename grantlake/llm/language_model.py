@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from grantlake.llm.common import broadcast_if_small, cut, document_key
+from grantlake.llm.common import broadcast_if_small, cut, document_key, filed
 from grantlake.session import bound_batches
 
 # Tokens are UTF-8 bytes, A-Z in lower case, white space runs as one space; grams of up to ORDER bytes fill an integer.
@@ -126,7 +126,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     by_order = {ORDER: counts}
     for order in range(ORDER, 1, -1):
         longer = by_order[order]
-        by_order[order - 1] = cut(longer.select("lang", _shorter(F.col("gram"), order).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")))
+        by_order[order - 1] = filed(longer.select("lang", _shorter(F.col("gram"), order).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
     lower, tables = None, []
     for order in range(1, ORDER + 1):
         grams = by_order[order].join(F.broadcast(_discounts(by_order[order])), "lang")
@@ -140,14 +140,14 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             suffix = share.withColumn("suffix", _shorter(F.col("gram"), order))
             below = suffix.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p_lower")), ["lang", "suffix"])
         p = F.col("own") + F.col("left") / F.col("total") * F.col("p_lower")
-        lower = cut(below.select("lang", "gram", p.alias("p")))
+        lower = filed(below.select("lang", "gram", p.alias("p")), "grams")
         tables.append((lower, contexts.select("lang", F.col("context").alias("gram"), F.log(F.col("left") / F.col("total")).alias("logb"))))
     found = tables[0][1].select("lang", "gram", F.lit(None).cast("double").alias("logp"), "logb")
     for order, (probabilities, _) in enumerate(tables, 1):
         logp = probabilities.select("lang", "gram", F.log("p").alias("logp"))
         own = logp.join(tables[order][1], ["lang", "gram"], "full") if order < ORDER else logp.withColumn("logb", F.lit(None).cast("double"))
         found = found.unionByName(own)
-    return cut(found)
+    return filed(found, "model")
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(trusted: DataFrame) -> DataFrame:
     rows = bound_batches(trusted.select(language(), "text")).mapInArrow(_count_grams, "lang string, gram long, n long")
-    return kneser_ney(cut(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))))
+    return kneser_ney(filed(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"))
 
 
 def _texts(frame: pd.DataFrame) -> list[bytes]:
