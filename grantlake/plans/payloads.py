@@ -114,11 +114,20 @@ def award_payloads(documents: DataFrame) -> DataFrame:
     return documents.select("page_id", payload.alias("payload"))
 
 
-def award_links(listing: DataFrame, base: Column | None = None) -> DataFrame:
-    """Document links of award search pages: any link to a PDF, and any link inside the results block. One scan, no shuffle."""
+def award_link_arrays(listing: DataFrame, base: Column | None = None) -> DataFrame:
+    """`listing` without its html, with `links`: the sorted distinct document links of every award search page.
+
+    Any link to a PDF counts, and any link inside the results block. One scan, no shuffle.
+    """
     rule = LINK_RULES["fair_work_mapd"]
     origin = F.lit(rule.base) if base is None else base
-    pages = listing.select("page_id", origin.alias("base"), page_links(F.col("html"), origin, rule).alias("links"), "html")
+    own = [c for c in listing.columns if c != "html"]
+    pages = listing.withColumns({"_base": origin, "_pdf": page_links(F.col("html"), origin, rule)})
     both = in_scan(pages, INSIDE, lambda tree, n_pages: read_hrefs_inside(tree, n_pages, rule.container_class))
-    resolved = F.transform("inside", lambda href: resolve(href, F.col("base")))
-    return explode_links(both, F.array_sort(F.array_union("links", resolved)))
+    resolved = F.transform("inside", lambda href: resolve(href, F.col("_base")))
+    return both.select(*own, F.array_sort(F.array_union("_pdf", resolved)).alias("links"))
+
+
+def award_links(listing: DataFrame, base: Column | None = None) -> DataFrame:
+    """``page_id, link_ord, link`` of award search pages."""
+    return explode_links(award_link_arrays(listing, base), F.col("links"))

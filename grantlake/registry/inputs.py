@@ -216,3 +216,38 @@ def listing_pages(spark: SparkSession, sf_dir: str, prefix: str, home: str) -> D
     p = table(spark, sf_dir, "pages")
     moved = F.replace(F.col("html"), F.lit('href="/th'), F.lit(f'href="{prefix}th'))
     return p.select("page_id", F.replace(moved, F.lit("</ul>"), F.lit(f'<li><a href="{home}">home</a></ul>')).alias("html"))
+
+
+def grant_crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as a crawl of grant pages: listing pages of 25 links each and the detail pages behind them.
+
+    Every listing page also repeats the first link of the one before. An empty page ends the listing; one more follows it. Every
+    seventh detail page failed, and all were fetched under another way to write their URL.
+    """
+    key = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("key"))
+    page = F.floor(F.col("key") / 25).cast("long")
+    again = key.where("key % 25 = 0").select((page + 1).alias("page_no"), "key")
+    anchors = F.concat(F.lit('<a class="x" href="/Go/Show?GoUuid='), F.col("key").cast("string"), F.lit('">grant</a>'))
+    body = F.concat(F.lit("<body><ul>"), F.array_join(F.collect_list(anchors), ""), F.lit('</ul><a href="/Go/List">next</a>'))
+    listed = key.select(page.alias("page_no"), "key").unionByName(again).groupBy("page_no").agg(body.alias("html"))
+    last = key.agg(F.max(page).alias("last"))
+    empty = last.select((F.col("last") + 2).alias("page_no"), F.lit("<body>No more</body>").alias("html"))
+    after = last.select((F.col("last") + 3).alias("page_no"), F.lit('<a href="/Go/Show?GoUuid=1">late</a>').alias("html"))
+    pages = listed.unionByName(empty).unionByName(after)
+    url = F.concat(F.lit("https://www.grants.gov.au/Go/List?page="), F.col("page_no").cast("string"))
+    listing = pages.select("page_no", url.alias("url"), F.lit(200).alias("status"), "html")
+    fetched_url = F.concat(F.lit("HTTPS://WWW.grants.gov.au:443/Go/Show?GoUuid="), F.col("page_id").cast("string"), F.lit("#top"))
+    status = F.when(F.col("page_id") % 7 == 0, 404).otherwise(200)
+    return listing, part_pages(spark, sf_dir).select(fetched_url.alias("url"), status.alias("status"), "html")
+
+
+def guidance_crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as guidance pages behind hub pages of 50 links each."""
+    path = "/businesses-and-organisations/small-business"
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 50).cast("long").alias("page_no"))
+    anchors = F.concat(F.lit(f'<a href="{path}/'), F.col("doc_id").cast("string"), F.lit('">guide</a>'))
+    body = F.concat(F.lit(f'<a href="{path}">home</a>'), F.array_join(F.collect_list(anchors), ""))
+    hubs = d.groupBy("page_no").agg(body.alias("html"))
+    listing = hubs.select("page_no", F.lit(f"https://www.ato.gov.au{path}").alias("url"), F.lit(200).alias("status"), "html")
+    url = F.concat(F.lit(f"https://www.ato.gov.au{path}/"), F.col("page_id").cast("string"))
+    return listing, guidance_pages(spark, sf_dir).select(url.alias("url"), F.lit(200).alias("status"), "html")

@@ -488,3 +488,19 @@ ORACLES["award_documents_of_both_kinds"] = f"""
   FROM pages JOIN ({ORACLES["page_title"]}) USING (page_id) JOIN ({ORACLES["page_text_lines"]}) USING (page_id)
   UNION ALL
   SELECT doc_id, 'https://awards.example.org/' || doc_id || '.PDF', NULL, 'pdf', nullif(substr(text, 1, 2000), '') FROM documents"""
+CRAWL = """
+  links AS (
+    SELECT p_partkey // 25 AS page_no, p_partkey AS key FROM part
+    UNION ALL SELECT p_partkey // 25 + 1, p_partkey FROM part WHERE p_partkey % 25 = 0)"""
+ORACLES["crawl_order"] = f"""
+  WITH {CRAWL}, named AS (SELECT page_no, 'https://www.grants.gov.au/Go/Show?GoUuid=' || key AS url FROM links)
+  SELECT page_no, row_number() OVER (PARTITION BY page_no ORDER BY url) AS position, url FROM named"""
+ORACLES["ingest_grantconnect"] = f"""
+  WITH {CRAWL}
+  SELECT 'https://www.grants.gov.au/Go/Show?GoUuid=' || key AS url, 'Part' || key AS title, p_name AS agency, p_type AS category,
+    p_size || ' May 2027' AS closing_date, '$' || p_size AS estimated_value
+  FROM links JOIN part ON p_partkey = key WHERE key % 7 <> 0"""
+ORACLES["ingest_ato"] = """
+  SELECT 'https://www.ato.gov.au/businesses-and-organisations/small-business/' || doc_id AS url, 'Guide ' || doc_id AS title,
+    'Last word' AS overview, CASE WHEN lang = 'de' THEN '["payg","superannuation"]' ELSE '[]' END AS topics
+  FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id::VARCHAR) <= 10"""

@@ -26,6 +26,7 @@ from grantlake.operators.rank import DEFAULT_TOP_K
 from grantlake.operators.retrieve import chunk_topk, cosine_topk, keyword_scores, keyword_topk, term_frequencies
 from grantlake.operators.vector_index import VectorIndex, recall
 from grantlake.plans.answers import agents_used, answer_questions, answer_questions_by_embedding, prompts, questions_with_hits
+from grantlake.plans.ingest import ingest_crawl, link_table
 from grantlake.plans.jobs import run_ingest, run_process
 from grantlake.plans.payloads import (
     award_documents,
@@ -482,6 +483,37 @@ def links_award_search(spark, sf_dir):
     return award_links(inputs.search_pages(spark, sf_dir))
 
 
+def _ingested(spark, sf_dir, source, crawl, max_pages=None):
+    """The raw rows that a crawl leaves in the raw zone."""
+    root = new_folder(spark, "zone")
+    report = ingest_crawl(spark, {source: lambda: crawl(spark, sf_dir)}, root, RUN_DATE, max_pages).first()
+    if report["error"]:
+        raise RuntimeError(report["error"])
+    return read_raw(spark, root, source, RUN_DATE).select(F.to_json("payload").alias("payload"))
+
+
+@query
+def ingest_grantconnect(spark, sf_dir):
+    rows = _ingested(spark, sf_dir, "grantconnect", inputs.grant_crawl)
+    names = ("url", "title", "agency", "category", "closing_date", "estimated_value")
+    return rows.select(*[F.get_json_object("payload", f"$.{name}").alias(name) for name in names])
+
+
+@query
+def ingest_ato(spark, sf_dir):
+    """The first ten guides of every hub page."""
+    rows = _ingested(spark, sf_dir, "ato", inputs.guidance_crawl, 10)
+    paths = {"url": "$.url", "title": "$.title", "overview": "$.sections.Overview", "topics": "$.topics"}
+    return rows.select(*[F.get_json_object("payload", path).alias(name) for name, path in paths.items()])
+
+
+@query
+def crawl_order(spark, sf_dir):
+    """The links of all listing pages up to the end of the listing, in order and with repeats."""
+    listing, _ = inputs.grant_crawl(spark, sf_dir)
+    return link_table(listing, "grantconnect")
+
+
 @query
 def labelled_page_fields(spark, sf_dir):
     return labelled_fields(inputs.part_pages(spark, sf_dir))
