@@ -107,7 +107,7 @@ MAPPINGS = {
 
 def check_source(source: str) -> str:
     if source not in SOURCES:
-        raise KeyError(f"No normalizer registered for source '{source}'")
+        raise KeyError(f"source {source!r} has no field mapping")
     return source
 
 
@@ -121,7 +121,7 @@ def normalize_source(raw: DataFrame, source: str) -> DataFrame:
 def normalize(raw: DataFrame) -> DataFrame:
     """Normalize raw rows of any mix of sources, each by its own mapping; an unknown source is an error."""
     mappings = {source: build() for source, build in MAPPINGS.items()}
-    unknown = F.raise_error(F.concat(F.lit("No normalizer registered for source "), F.col("source")))
+    unknown = F.raise_error(F.concat(F.lit("no field mapping for source "), F.col("source")))
 
     def pick(name: str, default: Column) -> Column:
         choice = F

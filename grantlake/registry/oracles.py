@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
-from grantlake.functions.labels import (
-    CASCADE_DEFAULT,
-    CASCADE_WORDS,
-    COMPLIANCE_WORDS,
-    ELIGIBILITY_WORDS,
-    TOPIC_WORDS,
+# Fixed values, spelled out here so that the SQL does not depend on the code it checks.
+ELIGIBILITY_WORDS = (
+    "grant", "grants", "eligible", "eligibility", "qualify", "qualifies", "funding", "application", "fund", "program", "scheme",
+)
+COMPLIANCE_WORDS = (
+    "tax", "taxes", "ato", "compliance", "pay", "wage", "wages", "award", "fair work", "super", "superannuation", "obligation",
+    "obligations", "employee", "employer", "payroll",
+)
+TOPIC_WORDS = {
+    "gst": ("gst", "goods and services tax"),
+    "payg": ("payg", "pay as you go"),
+    "superannuation": ("super", "superannuation"),
+    "record_keeping": ("record keeping", "records you need to keep", "recordkeeping"),
+}
+CASCADE_WORDS = (
+    ("award_pay", ("award", "pay rate", "wage", "employee", "hire")),
+    ("tax", ("tax", "gst", "payg", "ato", "super")),
+)
+CASCADE_DEFAULT = "grants"
+NO_GRANTS = (
+    "I could not find any grants matching your question. Try rephrasing with your industry, location, or business size."
+)
+NO_GUIDANCE = (
+    "I could not find compliance guidance matching your question. "
+    "Try mentioning the award, industry, or obligation you're asking about."
+)
+DISCLAIMER = (
+    "This is general guidance, not tax or legal advice - confirm specifics with the ATO or Fair Work Commission before acting."
 )
-from grantlake.functions.text import WHITESPACE
-from grantlake.plans.answers import DISCLAIMER, NO_GRANTS, NO_GUIDANCE
-from grantlake.registry.inputs import FETCHED_AT, RECORD_SITE
+FETCHED_AT = "2026-11-02T00:00:00.000000+00:00"
+RECORD_SITE = "https://records.example.org/"
+WHITESPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
 
 
 def text(value: str) -> str:

@@ -42,7 +42,7 @@ from grantlake.registry import inputs
 from grantlake.registry.inputs import FETCHED_AT, table
 from grantlake.schemas import SOURCES
 from grantlake.session import new_folder, stored
-from grantlake.sources.ckan import dataset_payloads
+from grantlake.sources.ckan import SEARCH_TERMS, by_search_term, dataset_payloads
 from grantlake.sources.pages import fetched, until_empty
 from grantlake.sources.zones import LINE_ORDER, envelope, parse_raw_lines, partition_path, raw_lines, read_processed, read_raw, write_raw
 from grantlake.streaming.incremental import changed
@@ -394,7 +394,9 @@ def first_wins_dedup(spark, sf_dir):
 
 @query
 def ckan_flatten(spark, sf_dir):
-    found = dataset_payloads(inputs.dataset_responses(spark, sf_dir))
+    responses = inputs.dataset_responses(spark, sf_dir)
+    term = F.when(F.col("term_ord") == 0, SEARCH_TERMS[0]).otherwise(SEARCH_TERMS[1])
+    found = dataset_payloads(by_search_term(responses.select(term.alias("term"), "start", "body")))
     records = normalize_source(envelope(found, "data_gov_au", F.lit(FETCHED_AT)), "data_gov_au")
     fields = ("record_id", "title", "description", "category", "state_or_territory", "url")
     return records.select(*fields, "package_id", "term_ord", "start", "pos")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +11,20 @@ from grantlake.functions.payload import truthy
 from grantlake.operators.dedup import first_wins
 from grantlake.operators.joins import join_per_key
 from grantlake.schemas import CKAN_BODY_DDL
+from grantlake.session import stored
 
 # Default search terms, in search order, and the page size.
 SEARCH_TERMS = ("small business grants", "compliance")
 PAGE_ROWS = 100
 
 
+def by_search_term(responses: DataFrame, terms: Sequence[str] = SEARCH_TERMS) -> DataFrame:
+    """Responses ``(term, start, body)`` of the given search terms with ``term_ord``, their place among them; others are left out."""
+    places = F.array(*[F.lit(term) for term in terms])
+    found = responses.withColumn("term_ord", F.array_position(places, F.col("term")).cast("int") - 1)
+    return found.where("term_ord >= 0").drop("term")
+
+
 def with_results(responses: DataFrame) -> DataFrame:
     """Add the parsed ``results`` array of each response ``body``; null at either level means no results."""
     body = F.from_json("body", CKAN_BODY_DDL, {"mode": "FAILFAST"})
@@ -29,7 +39,7 @@ def complete_pages(responses: DataFrame, rows: int = PAGE_ROWS) -> DataFrame:
     map-side combined minimum; the packages themselves are not shuffled for it.
     """
     short = F.min(F.when(F.size("results") < rows, F.col("start")))
-    cuts = responses.groupBy("term_ord").agg(short.alias("cut"))
+    cuts = stored(responses.groupBy("term_ord").agg(short.alias("cut")))
     kept = join_per_key(responses, cuts, "term_ord")
     return kept.where(F.col("cut").isNull() | (F.col("start") <= F.col("cut"))).drop("cut")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlake.operators.joins import join_per_key
+from grantlake.session import stored
 
 OK_STATUS = 200
 
@@ -31,6 +32,6 @@ def until_empty(listing: DataFrame, n_links: Column, max_pages: int | None = Non
     if max_pages is not None:
         listing = listing.where(F.col("page_no") <= max_pages)
     empty = F.min(F.when(n_links == 0, F.col("page_no")))
-    cuts = listing.groupBy("source").agg(empty.alias("first_empty"))
+    cuts = stored(listing.groupBy("source").agg(empty.alias("first_empty")))
     kept = join_per_key(listing, cuts, "source")
     return kept.where(F.col("first_empty").isNull() | (F.col("page_no") < F.col("first_empty"))).drop("first_empty")

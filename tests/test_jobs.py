@@ -78,7 +78,7 @@ def test_unknown_source_fails_alone(spark, tmp_path):
     put(tmp_path, "ato", [line("ato", {"url": "u"})])
     report = statuses(run_process(spark, str(tmp_path), str(tmp_path / "p"), None, DATE, ["elsewhere", "ato"]))
     assert report["ato"] == "ok (1 records)"
-    assert "No normalizer registered" in report["elsewhere"]
+    assert "has no field mapping" in report["elsewhere"]
 
 
 def test_snapshot_keeps_last_line_and_later_batches(spark, tmp_path):

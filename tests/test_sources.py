@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grantlake.operators.dedup import first_wins, key_collisions, last_wins
 from grantlake.operators.normalize import normalize, normalize_source, record_json
 from grantlake.schemas import NORMALIZED, SOURCES
-from grantlake.sources.ckan import dataset_payloads
+from grantlake.sources.ckan import by_search_term, dataset_payloads
 from grantlake.sources.zones import envelope, parse_raw_lines, raw_lines
 
 AT = "2026-11-02T00:00:00+00:00"
@@ -83,7 +83,7 @@ def test_unknown_source_is_an_error(spark):
     df = spark.createDataFrame([("{}",)], "payload string")
     with pytest.raises(KeyError):
         normalize_source(envelope(df, "other"), "other")
-    with pytest.raises(Exception, match="No normalizer registered for source other"):
+    with pytest.raises(Exception, match="no field mapping for source other"):
         normalize(envelope(df, "other")).collect()
 
 
@@ -157,3 +157,10 @@ def test_hot_keys_are_cut_before_the_shuffle(spark):
     df = spark.range(10).select(F.expr("cast(id % 2 as string)").alias("id"), F.col("id").alias("o"))
     text = first_wins(df, "id", "o")._jdf.queryExecution().executedPlan().toString()
     assert text.count("WindowGroupLimit") == 2
+
+
+def test_search_terms_keep_their_order(spark):
+    rows = [("compliance", 0, "b"), ("small business grants", 0, "a"), ("other", 0, "c"), (None, 0, "d")]
+    found = by_search_term(spark.createDataFrame(rows, "term string, start long, body string")).collect()
+    assert sorted((r.term_ord, r.body) for r in found) == [(0, "a"), (1, "b")]
+    assert by_search_term(spark.createDataFrame(rows, "term string, start long, body string"), ["other"]).first().term_ord == 0
