@@ -331,6 +331,30 @@ def test_sampling_estimates_generalised_jaccard(spark):
     assert abs(np.mean(np.array(x) == np.array(y)) - exact) < 0.07
 
 
+def test_likeness_is_as_right_as_its_samples_allow(spark):
+    """The query's own number of samples against exact likeness: no bias, and the error of that many draws."""
+    def weights(text):
+        return collections.Counter(re.findall(r"[^\x20\x09-\x0D]+", text))
+
+    def exact(a, b):
+        return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+    rows = sorted(dict(document_rows(spark)).items(), reverse=True)
+    found = {r.doc_id: r for r in QUERIES["op9_fingerprints"](spark, SF_DIR).collect()}
+    errors, spread = [], []
+    for (d, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        k = len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        assert found[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and found[d].n_chars == len(text)
+        for near, other in ((found[d].near_edited, edited), (found[d].near_next, after)):
+            p = exact(weights(text), weights(other))
+            errors.append(near - p)
+            spread.append(p * (1 - p) / fingerprints.SAMPLES)
+    # Documents share words and so draws: the mean of them all is held to a wider bound than independent ones would be.
+    assert abs(np.mean(errors)) < 0.03
+    assert np.sqrt(np.mean(np.square(errors))) < 1.5 * np.sqrt(np.mean(spread)) + 0.01
+
+
 def base_spans(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
