@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +131,7 @@ class Chunks:
         known: dict[bytes, int] = {}
         self.ids = np.array([known.setdefault(w, len(known)) for w in b" ".join(texts).split(b" ")], np.int64)
         self.words = list(known)
+        self.text = pa.array(self.words, pa.binary()).cast(pa.string())
         at = np.arange(len(self.ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.left = np.repeat(lengths, lengths) - at
         self.own = at < np.repeat(alone, lengths)
@@ -141,19 +143,18 @@ class Chunks:
 
     def sums(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each distinct key, one of its places and the sum of its frequencies."""
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         new = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.empty(0, np.int64)
         return at[order[new]], np.add.reduceat(self.n[at[order]], new) if len(new) else np.empty(0, np.int64)
 
     def batch(self, lang: str, size: int, places: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        parts = [[self.words[i] for i in self.ids[places + k].tolist()] for k in range(size)]
-        phrases = parts[0] if size == 1 else [b" ".join(p) for p in zip(*parts)]
-        return phrase_batch(lang, size, phrases, counts)
+        parts = [self.text.take(pa.array(self.ids[places + k])) for k in range(size)]
+        return phrase_batch(lang, size, parts[0] if size == 1 else pc.binary_join_element_wise(*parts, " "), counts)
 
 
-def phrase_batch(lang: str, size: int, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+def phrase_batch(lang: str, size: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     n = len(phrases)
-    columns = [pa.array([lang] * n, pa.string()), pa.array([size] * n, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
+    columns = [pa.repeat(pa.scalar(lang, pa.string()), n), pa.array(np.full(n, size, np.int32)), phrases, pa.array(counts, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "f"])
 
 
@@ -184,7 +185,7 @@ def _short_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def count(lang: str, found: Chunks) -> Iterator[pa.RecordBatch]:
         one, two = found.begins(1), found.begins(2)
-        yield phrase_batch(lang, 0, [b""], found.n[one].sum(keepdims=True))
+        yield phrase_batch(lang, 0, pa.array([""]), found.n[one].sum(keepdims=True))
         yield found.batch(lang, 1, *found.sums(found.ids[one], one))
         yield found.batch(lang, 2, *found.sums(found.ids[two] * len(found.words) + found.ids[two + 1], two))
 
