@@ -382,6 +382,20 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secret_counts_of_the_query(spark, tmp_path):
+    """Counts per kind whatever the order of the spans: kinds repeat, and the first span is not of the first kind."""
+    key, code = "AKIA" + "Q1" * 10, "0a" * 15
+    texts = [f"{code} {code} password=abcdef1", f"{key} x {key}, {key}", f'token = "{code}" {code}', f"secret: {key}", "plain", None]
+    table = spark.createDataFrame([(i, text, "a") for i, text in enumerate(texts)], "doc_id long, text string, source string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("assign", "access", "hex")
+    for found in QUERIES["op3_secrets"](spark, str(tmp_path)).collect():
+        spans = base_spans(texts[found.doc_id] or "")
+        assert (found.n_assign, found.n_access, found.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+        line = ",".join(f"{names[k]}:{start}:{end}" for start, k, end in spans)
+        assert found.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
 def test_language_model(spark, docs, empty, labels):
     rows = language_model.judge(docs, labels).collect()
     assert len(rows) == len(ROWS) and all(r.kept for r in rows if r.perplexity is None)
