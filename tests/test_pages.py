@@ -3,6 +3,7 @@
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,16 @@ def test_award_labels_equal_pages_by_themselves(spark):
     together = {(r.page_id, r.label, r.value) for r in fields.labelled_fields(pages(spark, *html).coalesce(1)).collect()}
     single = {(i, label, value) for i, h in enumerate(html) for label, value in fields.read_details(PageTree([h]), 1)[0][1]}
     assert together == single
+
+
+def test_trees_are_built_of_bounded_pieces(spark, monkeypatch):
+    """A task's trees hold few pages at a time, whatever the batch holds; no page is lost, empty ones and long ones neither."""
+    from grantlake.operators import pagetree
+
+    monkeypatch.setattr(pagetree, "PIECE_BYTES", 100)
+    pages = [None, "", "x" * 1000, *["<p>" + "y" * 40] * 9, "", "z" * 99, None]
+    parts = list(pagetree.pieces(pa.RecordBatch.from_arrays([pa.array(pages)], ["html"])))
+    held = [part.column("html").to_pylist() for part in parts]
+    assert [page for piece in held for page in piece] == pages
+    assert all(sum(len(page or "") for page in piece[:-1]) < 100 for piece in held) and len(held) > 5
+    assert list(pagetree.pieces(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["html"]))) == []
