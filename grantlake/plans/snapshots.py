@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 
 from grantlake.operators.dedup import last_wins, one_per_key
 from grantlake.schemas import NORMALIZED, SOURCES
+from grantlake.session import estimated_bytes
 from grantlake.sources.zones import LINE_ORDER
 
 # Records a bucket is meant for. Buckets are dealt anew, to as many as that takes, when they hold GROWTH times more.
 BUCKET_RECORDS, GROWTH = 100_000, 4
+# Bytes of a bucket's files, which long records reach first: one task merges a bucket, and its rows are several times larger.
+BUCKET_BYTES = 32 * 1024 * 1024
 LEAST_BUCKETS, MOST_BUCKETS = 8, 65_536
 # What a change of a record is told by: all of it but the time it was fetched.
 CONTENT = tuple(name for name in NORMALIZED.fieldNames() if name != "ingested_at")
@@ -46,8 +49,8 @@ def changed_since(known: DataFrame | None, records: DataFrame) -> DataFrame:
     return hashed.join(known.select("record_id", "content"), ["record_id", "content"], "left_anti").drop("content")
 
 
-def _buckets_for(n_records: int) -> int:
-    wanted = max(LEAST_BUCKETS, -(-n_records // BUCKET_RECORDS))
+def _buckets_for(n_records: int, n_bytes: int = 0) -> int:
+    wanted = max(LEAST_BUCKETS, -(-n_records // BUCKET_RECORDS), -(-n_bytes // BUCKET_BYTES))
     return min(MOST_BUCKETS, 1 << (wanted - 1).bit_length())
 
 
@@ -126,9 +129,12 @@ class Snapshots:
         rows.withColumn("content", content_hash()).write.parquet(work)
         new = self.spark.read.schema(STORED).parquet(work)
         n_new, n_held = new.count(), sum(row.n_records for row in held)
-        n_buckets = held[0].n_buckets if held else _buckets_for(n_new)
-        whole = bool(held) and n_held + n_new > GROWTH * BUCKET_RECORDS * n_buckets and n_buckets < MOST_BUCKETS
-        n_buckets = _buckets_for(n_held + n_new) if whole else n_buckets
+        # Files are listed for this, not read.
+        n_bytes = (estimated_bytes(new) or 0) + ((estimated_bytes(self._read(source, held)) or 0) if held else 0)
+        n_buckets = held[0].n_buckets if held else _buckets_for(n_new, n_bytes)
+        full = n_held + n_new > GROWTH * BUCKET_RECORDS * n_buckets or n_bytes > GROWTH * BUCKET_BYTES * n_buckets
+        whole = bool(held) and full and n_buckets < MOST_BUCKETS
+        n_buckets = _buckets_for(n_held + n_new, n_bytes) if whole else n_buckets
         bucket = F.pmod(F.xxhash64("record_id"), F.lit(n_buckets)).cast("int")
         touched = sorted(row.bucket for row in new.select(bucket.alias("bucket")).distinct().collect())
         read = [row for row in held if whole or row.bucket in set(touched)]

@@ -1,5 +1,6 @@
 """Bucketed versions: which buckets an upsert writes, repeated batches, growth, change detection without text, bad lines."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -58,6 +59,19 @@ def test_buckets_grow_with_the_records(spark, tmp_path, monkeypatch):
     assert sum(row.n_records for row in snapshots._newest("ato")) == 90
 
 
+def test_long_records_get_more_buckets(spark, tmp_path, monkeypatch):
+    """A bucket is what one task merges, so its bytes count as its records do."""
+    monkeypatch.setattr(S, "BUCKET_BYTES", 4096)
+    snapshots = Snapshots(spark, str(tmp_path))
+    noise = [(f"r{i}", "".join(hashlib.sha256(f"{i} {n}".encode()).hexdigest() for n in range(60))) for i in range(500)]
+    snapshots.upsert("ato", records(spark, noise[:40]))
+    first = {row.n_buckets for row in snapshots._newest("ato")}
+    snapshots.upsert("ato", records(spark, noise))
+    second = {row.n_buckets for row in snapshots._newest("ato")}
+    assert min(first) > S.LEAST_BUCKETS and min(second) > min(first)
+    assert titles(snapshots) == dict(noise)
+
+
 def test_change_detection_reads_no_text(spark, tmp_path):
     snapshots = Snapshots(spark, str(tmp_path))
     snapshots.upsert("ato", records(spark, [("a", "one"), ("b", "two")]))
