@@ -126,7 +126,7 @@ class Snapshots:
         version = max((row.version for row in newest), default=-1) + 1
         rows = last_wins(None, records.select(*NORMALIZED.fieldNames(), LINE_ORDER), "record_id", LINE_ORDER).drop(LINE_ORDER)
         work = self.scratch()
-        rows.withColumn("content", content_hash()).write.parquet(work)
+        rows.withColumn("content", content_hash()).write.parquet(work, compression="zstd")
         new = self.spark.read.schema(STORED).parquet(work)
         n_new, n_held = new.count(), sum(row.n_records for row in held)
         # Files are listed for this, not read.
@@ -147,7 +147,7 @@ class Snapshots:
             dealt = both.withColumn("bucket", bucket).repartition(n_buckets if whole else len(touched), "bucket")
             merged = one_per_key(dealt, ["bucket", "record_id"], [F.desc("_new")]).drop("_new")
             target = f"{self._folder(source)}/data/version={version}"
-            merged.write.mode("overwrite").partitionBy("bucket").parquet(target)
+            merged.write.mode("overwrite").partitionBy("bucket").parquet(target, compression="zstd")
             counts = self.spark.read.parquet(target).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
             written = [(row.bucket, n_buckets, version, row.n, None) for row in sorted(counts)]
         kept = [(row.bucket, n_buckets, row.data_version, row.n_records, None) for row in held if row not in read]

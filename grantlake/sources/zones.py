@@ -84,7 +84,7 @@ def write_processed(records: DataFrame, root: str, source: str, run_date: str, f
     if form == "json":
         record_json(records).write.mode("overwrite").text(target)
     else:
-        records.select(*NORMALIZED.fieldNames()).drop("source").write.mode("overwrite").parquet(target)
+        records.select(*NORMALIZED.fieldNames()).drop("source").write.mode("overwrite").parquet(target, compression="zstd")
 
 
 def read_processed(spark: SparkSession, root: str) -> DataFrame:

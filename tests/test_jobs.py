@@ -122,3 +122,11 @@ def test_incremental_equals_batch(spark, tmp_path):
     as_rows = lambda s: sorted(map(tuple, s.all_current().collect()))
     assert as_rows(batch) == as_rows(stream)
     assert sorted(changes) == [("ato", ["one", "v"]), ("ato", ["two"]), ("grantconnect", ["g"])]
+
+
+def test_job_files_are_packed_tightly(spark, tmp_path):
+    """Texts are held several times over by the job, so its parquet files take the smaller codec."""
+    put(tmp_path / "raw", "ato", [line("ato", {"url": "u", "title": "T"})])
+    run_process(spark, str(tmp_path / "raw"), str(tmp_path / "done"), Snapshots(spark, str(tmp_path / "snap")), DATE, ["ato"])
+    written = [p.name for folder in ("done", "snap/_work", "snap/source=ato/data") for p in (tmp_path / folder).rglob("*.parquet")]
+    assert written and all(".zstd." in name for name in written)
