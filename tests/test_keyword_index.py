@@ -67,6 +67,32 @@ def test_candidates_are_bounded_by_groups_of_splits(spark, tables):
     assert word_score("tax", "tax tax") == 2.0 and expected is not None
 
 
+def test_questions_meet_parts_not_blocks(spark):
+    """Where nothing can be pruned, a question still meets a fixed number of parts, however many blocks there are."""
+    records = spark.createDataFrame([(f"r{i % 390}", i % 7, "tax relief") for i in range(400)], "record_id string, ord long, text string")
+    questions = spark.createDataFrame([(1, "tax"), (2, "tax relief")], "question_id long, question string")
+    index = K.KeywordIndex.build(records, block_records=1)
+    weights = index._weights(K.term_frequencies(questions, "question_id", "question"), 5)
+    assert index.postings.where("term = 'tax'").count() == 400
+    assert index._bounds(weights).count() <= 2 * 48
+    assert hits(index.topk(questions)) == hits(keyword_topk(questions, records))
+
+
+def test_groups_of_questions_rank_alike(tables, monkeypatch):
+    questions, records = tables
+    monkeypatch.setattr(K, "MAX_ASKED_TERMS", 20)
+    monkeypatch.setattr(K, "TERM_CELLS", 4)
+    assert hits(K.keyword_index_topk(questions, records)) == hits(keyword_topk(questions, records))
+
+
+def test_ties_with_null_keys_keep_their_order(spark):
+    rows = [(None, 1, "tax"), ("", 1, "tax"), ("b", None, "tax"), ("a", None, "tax"), ("c", 0, "tax"), ("d", 2, "tax tax")]
+    records = spark.createDataFrame(rows, "record_id string, ord long, text string")
+    questions = spark.createDataFrame([(1, "tax"), (None, "tax")], "question_id long, question string")
+    found = K.keyword_index_topk(questions, records).orderBy("rank").select("question_id", "record_id", "ord").collect()
+    assert [tuple(r) for r in found] == [(1, "d", 2), (1, "a", None), (1, "b", None), (1, "c", 0), (1, None, 1)]
+
+
 def test_negative_k(tables):
     with pytest.raises(ValueError):
         K.keyword_index_topk(*tables, k=-1)
