@@ -26,13 +26,13 @@ from grantlake.operators.retrieve import AskedTerms, _keyword_scorer, term_frequ
 from grantlake.session import bound_batches, new_folder, stored
 
 # Records of one block.
-BLOCK_RECORDS = 256
+BLOCK_RECORDS = 1024
 # Highest counts kept of each term; a ranking of more than so many records prunes by scored blocks alone.
 KEPT_COUNTS = 32
 # Parts the blocks are dealt to. Every question may travel to all of them, so their number does not follow the input.
 PARTS = 48
 # Groups of questions that are compared with the block of the longest records.
-FIRST_GROUPS = 16
+FIRST_GROUPS = 8
 # Cells the asked terms are hashed to; terms of other cells are asked by no question and are not shuffled.
 TERM_CELLS = 1 << 20
 # Question terms a task holds at once; more questions meet the postings in several groups.
