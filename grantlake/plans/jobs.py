@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from grantlake.operators.normalize import check_source, normalize_source
 from grantlake.plans.snapshots import Snapshots
 from grantlake.schemas import REPORT, SOURCES
-from grantlake.session import stored
+from grantlake.session import drop_folder, stored
 from grantlake.sources.zones import default_run_date, envelope, read_raw, write_processed, write_raw
 
 
@@ -67,12 +67,17 @@ def run_process(
     def step(source: str) -> int:
         raw = read_raw(spark, raw_root, check_source(source), run_date)
         records = normalize_source(raw, source)
-        if snapshots is not None:
+        if snapshots is None:
+            return _counted(records, lambda df: write_processed(df, processed_root, source, run_date, form))
+        work = snapshots.scratch()
+        try:
             # Parsed once for both uses.
-            records = stored(records, snapshots.scratch())
-        n_records = _counted(records, lambda df: write_processed(df, processed_root, source, run_date, form))
-        if snapshots is not None:
+            records = stored(records, work)
+            n_records = _counted(records, lambda df: write_processed(df, processed_root, source, run_date, form))
             snapshots.upsert(source, records)
+        finally:
+            # Whole texts, so those of one source go before the next comes.
+            drop_folder(spark, work)
         return n_records
 
     return _run(spark, "process", tuple(sources or SOURCES), run_date, step)

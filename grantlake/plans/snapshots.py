@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from grantlake.operators.dedup import last_wins, one_per_key
 from grantlake.schemas import NORMALIZED, SOURCES
-from grantlake.session import estimated_bytes
+from grantlake.session import drop_folder, estimated_bytes
 from grantlake.sources.zones import LINE_ORDER
 
 # Records a bucket is meant for. Buckets are dealt anew, to as many as that takes, when they hold GROWTH times more.
@@ -121,11 +121,17 @@ class Snapshots:
         """
         if batch is not None and self.has_batch(source, batch):
             return []
+        work = self.scratch()
+        try:
+            return self._merge(source, records, batch, work)
+        finally:
+            drop_folder(self.spark, work)
+
+    def _merge(self, source: str, records: DataFrame, batch: str | None, work: str) -> list[int]:
         newest = self._newest(source)
         held = [row for row in newest if row.bucket != NO_BUCKET]
         version = max((row.version for row in newest), default=-1) + 1
         rows = last_wins(None, records.select(*NORMALIZED.fieldNames(), LINE_ORDER), "record_id", LINE_ORDER).drop(LINE_ORDER)
-        work = self.scratch()
         rows.withColumn("content", content_hash()).write.parquet(work, compression="zstd")
         new = self.spark.read.schema(STORED).parquet(work)
         n_new, n_held = new.count(), sum(row.n_records for row in held)

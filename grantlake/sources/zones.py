@@ -74,8 +74,8 @@ def read_raw(spark: SparkSession, root: str, source: str, run_date: str) -> Data
 
 
 def write_raw(raw: DataFrame, root: str, source: str, run_date: str) -> None:
-    """Replace one (source, date) partition, also by nothing when ``raw`` is empty."""
-    raw_lines(raw).write.mode("overwrite").text(partition_path(root, source, run_date))
+    """Replace one (source, date) partition, also by nothing when ``raw`` is empty. Files are packed: each was one task's and is read by one."""
+    raw_lines(raw).write.mode("overwrite").text(partition_path(root, source, run_date), compression="gzip")
 
 
 def write_processed(records: DataFrame, root: str, source: str, run_date: str, form: str = "parquet") -> None:

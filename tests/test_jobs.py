@@ -130,3 +130,17 @@ def test_job_files_are_packed_tightly(spark, tmp_path):
     run_process(spark, str(tmp_path / "raw"), str(tmp_path / "done"), Snapshots(spark, str(tmp_path / "snap")), DATE, ["ato"])
     written = [p.name for folder in ("done", "snap/_work", "snap/source=ato/data") for p in (tmp_path / folder).rglob("*.parquet")]
     assert written and all(".zstd." in name for name in written)
+
+
+def test_a_job_keeps_packed_raw_lines_and_no_scratch(spark, tmp_path):
+    """What a source needs on the way holds all its texts, and went on lying there for every source of a run."""
+    raw, snapshots = str(tmp_path / "raw"), Snapshots(spark, str(tmp_path / "snap"))
+    run_ingest(spark, {s: (lambda s=s: payload_table(spark, {"url": s, "title": "T"}, {"url": s, "title": "U"})) for s in ("ato", "grantconnect")}, raw, DATE)
+    files = [p.name for p in Path(raw).rglob("part-*")]
+    assert files and all(name.endswith(".gz") for name in files)
+    put(raw, "fair_work_mapd", ["{not json"])
+    report = statuses(run_process(spark, raw, str(tmp_path / "done"), snapshots, DATE, ["ato", "grantconnect", "fair_work_mapd"]))
+    assert report["ato"] == report["grantconnect"] == "ok (2 records)" and report["fair_work_mapd"].startswith("failed")
+    assert sorted((r.source, r.title) for r in snapshots.all_current().collect()) == [("ato", "U"), ("grantconnect", "U")]
+    assert read_processed(spark, str(tmp_path / "done")).count() == 4
+    assert not list((tmp_path / "snap" / "_work").rglob("*.parquet"))
